@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import lm_scoring
+from . import byte_bpe, lm_scoring, ngram_join
 
 
 def pipeline(spark, sf_dir):
@@ -12,7 +12,7 @@ def pipeline(spark, sf_dir):
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (lm_scoring.op1_lm_scoring, pipeline)}
+    return {f.__name__: f for f in (lm_scoring.op1_lm_scoring, byte_bpe.op2_byte_bpe, ngram_join.op3_ngram_join, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
