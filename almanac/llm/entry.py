@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, lm_scoring, ngram_join
+from . import byte_bpe, fingerprints, lm_scoring, ngram_join, packing
 
 
 def pipeline(spark, sf_dir):
@@ -12,7 +12,7 @@ def pipeline(spark, sf_dir):
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (lm_scoring.op1_lm_scoring, byte_bpe.op2_byte_bpe, ngram_join.op3_ngram_join, pipeline)}
+    return {f.__name__: f for f in (lm_scoring.op1_lm_scoring, byte_bpe.op2_byte_bpe, ngram_join.op3_ngram_join, fingerprints.op4_fingerprints, packing.op7_packing, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
