@@ -135,33 +135,38 @@ def unpack(b: bytes, kind) -> np.ndarray:
 
 
 SKETCH_SCHEMA = "part int, counts binary"
+PARTS = 32  # rows that a sketch is cut into
 
 
-def sketch_rows(counts: np.ndarray, parts: int = 32):
-    """A count sketch as one row for each of its parts."""
-    for k, x in enumerate(np.split(counts, parts)):
-        if x.any():
-            yield k, pack(x.astype(np.uint32))
+def sketch_batch(counts: np.ndarray) -> pa.RecordBatch:
+    """A sketch of counts up to 255 (uint8, saturated) or more (uint32) as a row for each part that isn't empty."""
+    rows = [(k, pack(x)) for k, x in enumerate(np.split(counts, PARTS)) if x.any()]
+    return pa.RecordBatch.from_arrays([pa.array([k for k, _ in rows], pa.int32()), pa.array([x for _, x in rows], pa.binary())], ["part", "counts"])
 
 
-def merged_sketch(rows: DataFrame, bits: int, parts: int = 32) -> np.ndarray:
-    """The sum of the sketches in rows (part, counts); 2**bits counters of four bytes, however many rows.
+def merged_sketch(rows: DataFrame, bits: int, over: int | None = None) -> np.ndarray:
+    """The sum of the sketches in rows (part, counts): 2**bits counters, or with ``over`` a bit for each, whether it is larger.
 
-    Each part is summed where its rows meet, in batches; only the summed counters come to the driver.
+    Parts are summed where their rows meet, one row at a time; where there are many rows, first
+    in several tasks for each part. Only the summed counters or bits come to the driver; their
+    size doesn't depend on the input.
     """
-    width = (1 << bits) // parts
+    width, wide = (1 << bits) // PARTS, over is None
 
-    def add(batches):
+    def add(batches, last: bool):
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
             for part, counts in zip(batch["part"].to_pylist(), batch["counts"].to_pylist(), strict=True):
-                x = sums.setdefault(part, np.zeros(width, np.uint64))
-                x += unpack(counts, np.uint32)
-        yield pa.RecordBatch.from_pydict({"part": pa.array(list(sums), pa.int32()), "counts": pa.array([pack(np.minimum(x, 2**32 - 1).astype(np.uint32)) for x in sums.values()], pa.binary())})
-
-    out = np.zeros((parts, width), np.uint64)
-    # two levels: any task sums what it has, then one task for each part
-    once = rows.mapInArrow(add, SKETCH_SCHEMA)
-    for r in once.repartition(min(parts, partitions(rows.sparkSession)), "part").mapInArrow(add, SKETCH_SCHEMA).collect():
-        out[r["part"]] += unpack(r["counts"], np.uint32)
-    return np.minimum(out.reshape(-1), 2**32 - 1).astype(np.uint32)
+                raw = zlib.decompress(counts)
+                x = sums.setdefault(part, np.zeros(width, np.uint32))
+                x += np.minimum(np.frombuffer(raw, np.uint8 if len(raw) == width else np.uint32), 2**32 - 1 - x)
+        out = [pack(x) if wide or not last else np.packbits(x > over).tobytes() for x in sums.values()]
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array(out, pa.binary())], ["part", "counts"])
+
+    n = partitions(rows.sparkSession)
+    if n > 8 * PARTS:
+        rows = rows.withColumn("salt", F.floor(F.rand(1) * (n // PARTS))).repartition(n, "part", "salt").drop("salt").mapInArrow(lambda x: add(x, False), SKETCH_SCHEMA)
+    out = np.zeros((PARTS, width), np.uint32) if wide else np.zeros((PARTS, width // 8), np.uint8)
+    for r in rows.repartition(min(PARTS, n), "part").mapInArrow(lambda x: add(x, True), SKETCH_SCHEMA).collect():
+        out[r["part"]] = unpack(r["counts"], np.uint32) if wide else np.frombuffer(r["counts"], np.uint8)
+    return out.reshape(-1)

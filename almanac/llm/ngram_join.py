@@ -29,9 +29,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SKETCH_SCHEMA, documents, lowered, merged_sketch, mix, sketch_rows, slices, span_hashes, stored, words
+from .common import SKETCH_SCHEMA, documents, lowered, merged_sketch, mix, sketch_batch, slices, span_hashes, stored, words
 
-BITS = 22  # of a sketch's width: 2**22 counters
+BITS = 22  # the count sketch has 2**22 counters
+BITS_SEEN = 25  # sketches that only tell whether something was seen (once or twice) have 2**25
 FRAGMENTS = 8
 
 
@@ -74,6 +75,10 @@ def least_overlap(n: np.ndarray | int, m, percent: int):
     return -(-percent * (n + m) // (100 + percent))
 
 
+def _bit(bits: np.ndarray, at: np.ndarray) -> np.ndarray:
+    return bits[at >> 3] >> (7 - (at & 7)) & 1 == 1
+
+
 def _longest_prefix(n: int, percent: int) -> int:
     """The most first n-grams of a set of n that any partner demands."""
     return n - -(-percent * n // 100) + 1 if n else 0
@@ -107,22 +112,21 @@ def _overlaps(pairs: DataFrame, docs: DataFrame, n: int, percent: int, fragments
     ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
 
     def mark(batches):
-        bits = np.zeros(1 << BITS, np.uint32)
+        bits = np.zeros(1 << BITS_SEEN, np.uint8)
         for batch in batches:
-            bits[_slot(mix(batch["id"].to_numpy().view(np.uint64)))] = 1
-        rows = list(sketch_rows(bits))
-        yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in rows], pa.int32()), pa.array([x for _, x in rows], pa.binary())], ["part", "counts"])
+            bits[_slot(mix(batch["id"].to_numpy().view(np.uint64)), BITS_SEEN)] = 1
+        yield sketch_batch(bits)
 
-    wanted = spark.sparkContext.broadcast(np.packbits(merged_sketch(ids.mapInArrow(mark, SKETCH_SCHEMA), BITS) > 0))
+    wanted = spark.sparkContext.broadcast(merged_sketch(ids.mapInArrow(mark, SKETCH_SCHEMA), BITS_SEEN, over=0))
     edges = np.linspace(0, 2.0**64, fragments + 1)[1:-1].astype(np.uint64)
 
     def cut(batches):
-        want = np.unpackbits(wanted.value)
+        want = wanted.value
         for batch in batches:
             sent: set[int] = set()
             rows = []
             for _, grams in shingle_sets(batch["text"], n):
-                if len(grams) and (c := set_id(grams)) not in sent and want[_slot(mix(np.array([c]).view(np.uint64)))[0]]:
+                if len(grams) and (c := set_id(grams)) not in sent and _bit(want, _slot(mix(np.array([c]).view(np.uint64)), BITS_SEEN))[0]:
                     sent.add(c)
                     rows += [(c, f, x.tobytes()) for f, x in enumerate(np.split(grams, np.searchsorted(grams, edges)))]
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True) if rows else [[]] * 3, (pa.int64(), pa.int32(), pa.binary()), strict=True)], ["id", "fragment", "grams"])
@@ -167,12 +171,16 @@ def join(docs: DataFrame, n: int = 5, percent: int = 80, fragments: int = FRAGME
                     counts[at] += many.astype(np.uint32)
             ids.append(batch["doc_id"])
         ids = pa.chunked_array(ids).combine_chunks() if ids else pa.array([])
-        rows, m = list(sketch_rows(counts)), len(sizes)
-        yield pa.RecordBatch.from_arrays([pa.concat_arrays([ids, pa.nulls(len(rows), ids.type)]) if m else pa.nulls(len(rows)), pa.array(sizes + [-1] * len(rows), pa.int32()), pa.array(classes + [None] * len(rows), pa.int64()), pa.array([0] * m + [k for k, _ in rows], pa.int32()), pa.array([None] * m + [x for _, x in rows], pa.binary())], ["doc_id", "n", "id", "part", "counts"])
+        m, own = len(sizes), sketch_batch(counts)
+        names = ["doc_id", "n", "id", "part", "counts"]
+        if m:
+            yield pa.RecordBatch.from_arrays([ids, pa.array(sizes, pa.int32()), pa.array(classes, pa.int64()), pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary())], names)
+            k = len(own)
+            yield pa.RecordBatch.from_arrays([pa.nulls(k, ids.type), pa.nulls(k, pa.int32()), pa.nulls(k, pa.int64()), own["part"], own["counts"]], names)
 
     seen = stored(docs.mapInArrow(first, f"doc_id {kind}, n int, id long, part int, counts binary"))
-    common = spark.sparkContext.broadcast(merged_sketch(seen.filter("n < 0").select("part", "counts"), BITS))
-    seen = seen.filter("n >= 0").select("doc_id", "n", "id")
+    common = spark.sparkContext.broadcast(merged_sketch(seen.filter("part is not null").select("part", "counts"), BITS))
+    seen = seen.filter("part is null").select("doc_id", "n", "id")
 
     # 2: the first n-grams of each set in the global order
     def prefixes(batches):
@@ -190,36 +198,37 @@ def join(docs: DataFrame, n: int = 5, percent: int = 80, fragments: int = FRAGME
 
     sets = stored(docs.mapInArrow(prefixes, "id long, n int, grams binary").groupBy("id").agg(F.first("n").alias("n"), F.first("grams").alias("grams")))
 
+    # 2b: postings of those that occur twice. A bit sketch lets go of most others before they are dealt out
     def often(batches):
-        counts = np.zeros(1 << BITS, np.uint32)
+        counts = np.zeros(1 << BITS_SEEN, np.uint8)
         for batch in batches:
             for x in batch["grams"].to_pylist():
-                at, many = np.unique(_slot(mix(np.frombuffer(x, np.uint64))), return_counts=True)
-                counts[at] += many.astype(np.uint32)
-        rows = list(sketch_rows(counts))
-        yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in rows], pa.int32()), pa.array([x for _, x in rows], pa.binary())], ["part", "counts"])
+                at = _slot(mix(np.frombuffer(x, np.uint64)), BITS_SEEN)
+                counts[at] += counts[at] < 2
+        yield sketch_batch(counts)
 
-    twice = spark.sparkContext.broadcast(np.packbits(merged_sketch(sets.select("grams").mapInArrow(often, SKETCH_SCHEMA), BITS) > 1))
+    twice = spark.sparkContext.broadcast(merged_sketch(sets.select("grams").mapInArrow(often, SKETCH_SCHEMA), BITS_SEEN, over=1))
 
     def post(batches):
-        many = np.unpackbits(twice.value)
         for batch in batches:
             out = []
             for c, size, x in zip(batch["id"].to_pylist(), batch["n"].to_pylist(), batch["grams"].to_pylist(), strict=True):
                 grams = np.frombuffer(x, np.uint64)
-                at = np.flatnonzero(many[_slot(mix(grams))])
+                at = np.flatnonzero(_bit(twice.value, _slot(mix(grams), BITS_SEEN)))
                 out.append((grams[at].view(np.int64), np.full(len(at), c), np.full(len(at), size, np.int32), at.astype(np.int32)))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], ["gram", "id", "n", "pos"])
 
-    postings = stored(sets.mapInArrow(post, "gram long, id long, n int, pos int"))
+    postings = sets.mapInArrow(post, "gram long, id long, n int, pos int")
+    shared = postings.groupBy("gram").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).filter("lo < hi").select("gram")
+    postings = stored(postings.join(shared, "gram"))
 
     def fits(a: str, b: str) -> str:
         need = f"ceil({percent} * ({a}.n + {b}.n) / {100 + percent}.0D - 1e-9)"
         return f"{a}.pos + {need} <= {a}.n and {b}.pos + {need} <= {b}.n"
 
     # round 1: each posting meets the least edited set of its n-gram
-    lead = postings.groupBy("gram").agg(F.min(F.struct("pos", "n", "id")).alias("y"), F.min("id").alias("lo"), F.max("id").alias("hi")).filter("lo < hi").select("gram", "y")
+    lead = postings.groupBy("gram").agg(F.min(F.struct("pos", "n", "id")).alias("y"))
     star = postings.alias("x").join(lead, "gram").filter("x.id <> y.id and " + fits("x", "y"))
     star = stored(star.select(F.col("y.id").alias("a"), F.col("x.id").alias("b"), F.col("y.n").alias("n_a"), F.col("x.n").alias("n_b")).distinct())
     links = stored(_overlaps(star, docs, n, percent, fragments))
