@@ -131,7 +131,8 @@ def _overlaps(pairs: DataFrame, docs: DataFrame, n: int, percent: int, fragments
                     rows += [(c, f, x.tobytes()) for f, x in enumerate(np.split(grams, np.searchsorted(grams, edges)))]
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True) if rows else [[]] * 3, (pa.int64(), pa.int32(), pa.binary()), strict=True)], ["id", "fragment", "grams"])
 
-    sets = docs.select("text").mapInArrow(cut, "id long, fragment int, grams binary").join(ids, "id", "left_semi")
+    # copies of a set meet here; a set that slipped through the sketch meets no pair below
+    sets = docs.select("text").mapInArrow(cut, "id long, fragment int, grams binary")
     sets = stored(sets.groupBy("id", "fragment").agg(F.first("grams").alias("grams")))
 
     def count(batches):
@@ -139,8 +140,9 @@ def _overlaps(pairs: DataFrame, docs: DataFrame, n: int, percent: int, fragments
             got = [len(np.intersect1d(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), assume_unique=True)) for x, y in zip(batch["x"].to_pylist(), batch["y"].to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([*(batch[c] for c in ("a", "b", "n_a", "n_b")), pa.array(got, pa.int64())], ["a", "b", "n_a", "n_b", "partial"])
 
-    met = pairs.join(sets.select(F.col("id").alias("a"), "fragment", F.col("grams").alias("x")), "a")
-    met = met.join(sets.select(F.col("id").alias("b"), "fragment", F.col("grams").alias("y")), ["b", "fragment"])
+    # pairs have no bound, so they are never broadcast: the join is the same at every size
+    met = pairs.join(sets.select(F.col("id").alias("a"), "fragment", F.col("grams").alias("x")).hint("merge"), "a")
+    met = met.join(sets.select(F.col("id").alias("b"), "fragment", F.col("grams").alias("y")).hint("merge"), ["b", "fragment"])
     partial = met.select("a", "b", "n_a", "n_b", "x", "y").mapInArrow(count, "a long, b long, n_a int, n_b int, partial long")
     total = partial.groupBy("a", "b", "n_a", "n_b").agg(F.sum("partial").alias("common"))
     return total.filter(F.col("common") * 100 >= (F.col("n_a") + F.col("n_b") - F.col("common")) * percent).select("a", "b")
