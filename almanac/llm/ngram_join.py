@@ -256,5 +256,16 @@ def join(docs: DataFrame, n: int = 5, percent: int = 80, fragments: int = FRAGME
     return seen.join(final, "id", "left").select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.col("id").alias("set_id"), F.when(F.col("id").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
+def keep_one(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of docs (doc_id, text, any other columns) that stand for their component: those of the smallest doc_id, once.
+
+    Texts without words are linked with nothing and all stay.
+    """
+    worded = F.coalesce(F.col("text").rlike("[^\\x20\\x09-\\x0D]"), F.lit(False))
+    first = join(docs, n, percent).filter("set_id is not null and doc_id <=> component_id").select(F.col("doc_id").alias("_first")).distinct()
+    kept = docs.filter(worded).join(first, F.col("doc_id").eqNullSafe(F.col("_first")), "left_semi").dropDuplicates(["doc_id"])
+    return kept.unionByName(docs.filter(~worded))
+
+
 def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return join(documents(spark, sf_dir), n=3, percent=90)

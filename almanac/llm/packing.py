@@ -146,7 +146,7 @@ def pieces(docs: DataFrame, vocabulary: str, tokens: int, end_id: int = 0, ranks
 
 
 def pack(rows: DataFrame, tokens: int, documents_: int | None = None, cost: int | None = None, rule: str = "norm", weights: tuple[float, float, float] = (1.0, 0.05, 0.05)) -> DataFrame:
-    """Adds sequence_id, offset and place to pieces (doc_id, piece, length of 1 to tokens and any more columns).
+    """Adds sequence_id, offset and place to pieces (doc_id, piece, start, length of 1 to tokens, crc).
 
     Capacities of a sequence: tokens, documents (default: as many as tokens, so never short) and
     attention cost (default: tokens squared, likewise). Equal rows are pieces of their own. An
@@ -163,7 +163,7 @@ def pack(rows: DataFrame, tokens: int, documents_: int | None = None, cost: int
     steps = plan(lengths, tokens, documents_, cost, rule, weights)
     before = counts.select("length", "_salt", (F.sum("_n").over(W.partitionBy("length").orderBy("_salt")) - F.col("_n")).alias("_before"))
     own = F.row_number().over(W.partitionBy("length", "_salt").orderBy("doc_id", "piece", "start", "crc"))
-    ranked = rows.withColumn("_own", own - 1).join(before, ["length", "_salt"]).withColumn("_rank", F.col("_own") + F.col("_before"))
+    ranked = rows.withColumn("_own", own - 1).join(before.hint("merge"), ["length", "_salt"]).withColumn("_rank", F.col("_own") + F.col("_before"))
     sent = rows.sparkSession.sparkContext.broadcast((np.searchsorted(steps[:, 0] * -1, -np.arange(tokens + 2), "left"), np.searchsorted(-steps[:, 0], -np.arange(tokens + 2), "right"), steps))
     ranked = ranked.drop("_salt", "_own", "_before")
 
@@ -196,7 +196,7 @@ def pack_documents(docs: DataFrame, vocabulary: str, tokens: int = 2048, ranks:
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = stored(pieces(docs, vocabulary, tokens, ranks=ranks).mapInArrow(checked, f"doc_id {kind}, piece int, start long, length long, crc long"))
-    return pack(rows, tokens, **capacities).withColumnRenamed("crc", "ids_crc32")
+    return pack(rows, tokens, **capacities).select("doc_id", "piece", "start", "length", F.col("crc").alias("ids_crc32"), "sequence_id", "offset", "place")
 
 
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -149,10 +149,10 @@ def judge(docs: DataFrame) -> DataFrame:
 
 def keep(docs: DataFrame) -> DataFrame:
     """The rows of docs that judge() keeps, with all columns. Rows alike in doc_id, text, lang and source share a verdict."""
-    verdict = judge(docs.select(F.xxhash64("doc_id", "text", "lang", "source").alias("doc_id"), "text", "lang", "source"))
-    key = F.xxhash64("doc_id", "text", "lang", "source")
-    gone = verdict.filter(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, key == F.col("_gone"), "left_anti")
+    tie = F.xxhash64("text", "lang", "source")
+    verdict = judge(docs.select(F.struct("doc_id", tie.alias("tie")).alias("doc_id"), "text", "lang", "source"))
+    gone = verdict.filter(~F.col("kept")).select(F.col("doc_id.doc_id").alias("_gone"), F.col("doc_id.tie").alias("_tie")).distinct()
+    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("_gone")) & (tie == F.col("_tie")), "left_anti")
 
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
