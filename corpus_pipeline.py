@@ -1 +1,60 @@
-STAGES = []
+"""From raw documents to packed training sequences: five stages over the whole corpus.
+
+Each stage takes (spark, docs, sf_dir), where docs has the columns of documents, and works on all
+rows that its predecessor kept. run() writes every stage's result as Parquet to the shared folder
+and reads it again for the next.
+"""
+
+from __future__ import annotations
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from almanac.llm import line_dedup, ngram_join, packing, quality_rules, secret_scan
+from almanac.llm.common import documents, stored
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality rules reject go."""
+    return quality_rules.keep(docs)
+
+
+def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Lines of repeated windows go; every document stays, if need be with an empty text."""
+    cut = line_dedup.dedup_lines(docs)
+    return cut.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text")).otherwise(F.col("n_chars"))).select(docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of texts linked by five-word shingles (Jaccard of 0.8 or more) one document stays, the least doc_id; texts without words all stay."""
+    return ngram_join.keep_one(docs, n=5, percent=80)
+
+
+def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Secrets are masked, character by character; every document stays."""
+    return secret_scan.redact(docs)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents are tokenised and packed into sequences of at most 2048 tokens."""
+    return packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"), 2048, public_tokenizers.path("byte_bpe_50k.tiktoken"))
+
+
+STAGES = [
+    ("quality rules", quality),
+    ("line dedup", lines),
+    ("n-gram Jaccard join", near_duplicates),
+    ("secret scans", secrets),
+    ("best-fit packing", packed),
+]
+
+#: Shingle links and packing have no SQL form here; tests hold run() against a brute-force version.
+ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    for _, stage in STAGES:
+        docs = stored(stage(spark, docs, sf_dir))
+    return docs
