@@ -6,8 +6,11 @@ the same links; a rare-first one gives few candidates. The join has these steps:
 
 1. Equal sets become one class (any number of copies is one row from here on).
 2. Candidates: two sets with the overlap o that their sizes demand share an n-gram among the
-   first (size - o + 1) of each. Only those n-grams, and of them only such as may occur twice,
-   become postings.
+   first (size - o + 1) of each. Those n-grams are listed by blocks of sets; lists meet by ranges
+   of n-grams, where each block learns which of its n-grams other sets have, and only these
+   become postings. (A block lists an n-gram once, so a frequent one is no large group.)
+   Of more first n-grams, sets that overlap enough share more (size - o + k of each: k), so a
+   pair is held against two-byte tags of them, which may overstate what is shared, never less.
 3. Exact overlaps: the global order (by hash) is cut into fragments; a set is cut into the same
    fragments; for a pair, partial overlaps are counted in each fragment alone and summed.
 4. Links become components by label propagation with shortcuts.
@@ -29,10 +32,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SKETCH_SCHEMA, documents, lowered, merged_sketch, mix, sketch_batch, slices, span_hashes, stored, words
+from .common import SKETCH_SCHEMA, documents, lowered, merged_sketch, mix, partitions, sketch_batch, slices, span_hashes, stored, words
 
 BITS = 22  # the count sketch has 2**22 counters
-BITS_SEEN = 25  # sketches that only tell whether something was seen (once or twice) have 2**25
+BITS_SEEN = 25  # the sketch of sets that are asked for has 2**25 bits
 FRAGMENTS = 8
 
 
@@ -79,6 +82,18 @@ def _bit(bits: np.ndarray, at: np.ndarray) -> np.ndarray:
     return bits[at >> 3] >> (7 - (at & 7)) & 1 == 1
 
 
+def _block(ids: np.ndarray, blocks: int) -> np.ndarray:
+    return (mix(ids.astype(np.int64).view(np.uint64)) >> np.uint64(33)).astype(np.int64) % blocks
+
+
+_TYPES = {"block": pa.int32(), "part": pa.int32(), "fragment": pa.int32(), "n": pa.int32(), "id": pa.int64(), "grams": pa.binary(), "twice": pa.binary()}
+
+
+def _batch(rows: list[tuple], *names: str) -> pa.RecordBatch:
+    columns = zip(*rows, strict=True) if rows else [[]] * len(names)
+    return pa.RecordBatch.from_arrays([pa.array(x, _TYPES[c]) for x, c in zip(columns, names, strict=True)], list(names))
+
+
 def _longest_prefix(n: int, percent: int) -> int:
     """The most first n-grams of a set of n that any partner demands."""
     return n - -(-percent * n // 100) + 1 if n else 0
@@ -129,7 +144,7 @@ def _overlaps(pairs: DataFrame, docs: DataFrame, n: int, percent: int, fragments
                 if len(grams) and (c := set_id(grams)) not in sent and _bit(want, _slot(mix(np.array([c]).view(np.uint64)), BITS_SEEN))[0]:
                     sent.add(c)
                     rows += [(c, f, x.tobytes()) for f, x in enumerate(np.split(grams, np.searchsorted(grams, edges)))]
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True) if rows else [[]] * 3, (pa.int64(), pa.int32(), pa.binary()), strict=True)], ["id", "fragment", "grams"])
+            yield _batch(rows, "id", "fragment", "grams")
 
     # copies of a set meet here; a set that slipped through the sketch meets no pair below
     sets = docs.select("text").mapInArrow(cut, "id long, fragment int, grams binary")
@@ -184,7 +199,9 @@ def join(docs: DataFrame, n: int = 5, percent: int = 80, fragments: int = FRAGME
     common = spark.sparkContext.broadcast(merged_sketch(seen.filter("part is not null").select("part", "counts"), BITS))
     seen = seen.filter("part is null").select("doc_id", "n", "id")
 
-    # 2: the first n-grams of each set in the global order
+    # 2: the first n-grams of each set in the global order, in blocks of sets
+    blocks = partitions(spark)
+
     def prefixes(batches):
         for batch in batches:
             done: set[int] = set()
@@ -195,35 +212,72 @@ def join(docs: DataFrame, n: int = 5, percent: int = 80, fragments: int = FRAGME
                     known = common.value[_slot(grams)]
                     at = np.lexsort((grams, known))[: _longest_prefix(len(grams), percent)]
                     if (known[at] > 1).any():  # else no other document has any of them
-                        rows.append((c, len(grams), grams[at].tobytes()))
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True) if rows else [[]] * 3, (pa.int64(), pa.int32(), pa.binary()), strict=True)], ["id", "n", "grams"])
-
-    sets = stored(docs.mapInArrow(prefixes, "id long, n int, grams binary").groupBy("id").agg(F.first("n").alias("n"), F.first("grams").alias("grams")))
-
-    # 2b: postings of those that occur twice. A bit sketch lets go of most others before they are dealt out
-    def often(batches):
-        counts = np.zeros(1 << BITS_SEEN, np.uint8)
+                        rows.append((int(_block(np.array([c]), blocks)[0]), c, len(grams), grams[at].tobytes()))
+            yield _batch(rows, "block", "id", "n", "grams")
+
+    def gather(table: pa.Table) -> pa.Table:
+        """Copies of a set become one; and the block's distinct n-grams are listed by range."""
+        block = table["block"][0].as_py()
+        _, at = np.unique(table["id"].to_numpy(), return_index=True)
+        own = table.take(pa.array(at)).select(["block", "id", "n", "grams"])
+        found, many = np.unique(np.frombuffer(b"".join(own["grams"].to_pylist()), np.uint64), return_counts=True)
+        part = _slot(found, 32) * blocks >> 32  # ascending
+        cuts = np.searchsorted(part, np.arange(blocks + 1))
+        lists = [(block, k, found[i:j].tobytes(), np.packbits(many[i:j] > 1).tobytes()) for k, (i, j) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)) if j > i]
+        listed = pa.Table.from_batches([_batch(lists, "block", "part", "grams", "twice")])
+        return pa.concat_tables([own, listed], promote_options="default").select(["block", "id", "n", "grams", "part", "twice"])
+
+    kept = stored(docs.select("text").mapInArrow(prefixes, "block int, id long, n int, grams binary").groupBy("block").applyInArrow(gather, "block int, id long, n int, grams binary, part int, twice binary"))
+    sets = kept.filter("id is not null").select("block", "id", "n", "grams")
+
+    def answer(table: pa.Table) -> pa.Table:
+        """For each block's list a bit for each n-gram: whether two sets have it."""
+        lists = [np.frombuffer(x, np.uint64) for x in table["grams"].to_pylist()]
+        twice = [np.unpackbits(np.frombuffer(x, np.uint8), count=len(g)) for x, g in zip(table["twice"].to_pylist(), lists, strict=True)]
+        found, place, many = np.unique(np.concatenate(lists), return_inverse=True, return_counts=True)
+        many[place[np.concatenate(twice) > 0]] = 2
+        bits = np.split(many[place] > 1, np.cumsum([len(g) for g in lists])[:-1])
+        return pa.Table.from_batches([_batch([(b, table["part"][0].as_py(), np.packbits(x).tobytes()) for b, x in zip(table["block"].to_pylist(), bits, strict=True)], "block", "part", "twice")])
+
+    answers = kept.filter("part is not null").select("block", "part", "grams", "twice").groupBy("part").applyInArrow(answer, "block int, part int, twice binary")
+
+    def post(own: pa.Table, got: pa.Table) -> pa.Table:
+        lists = [np.frombuffer(x, np.uint64) for x in own["grams"].to_pylist()]
+        found = np.unique(np.concatenate(lists)) if lists else np.zeros(0, np.uint64)
+        part = _slot(found, 32) * blocks >> 32
+        cuts = np.searchsorted(part, np.arange(blocks + 1))
+        shared = np.zeros(len(found), bool)
+        for k, x in zip(got["part"].to_pylist(), got["twice"].to_pylist(), strict=True):
+            shared[cuts[k] : cuts[k + 1]] = np.unpackbits(np.frombuffer(x, np.uint8), count=int(cuts[k + 1] - cuts[k]))
+        flat, sizes = np.concatenate([*lists, np.zeros(0, np.uint64)]), [len(g) for g in lists]
+        pos = np.concatenate([*map(np.arange, sizes), np.zeros(0, np.int64)]).astype(np.int32)
+        at = np.flatnonzero(shared[np.searchsorted(found, flat)]) if len(flat) else np.zeros(0, np.int64)
+        whose = np.repeat(np.arange(len(lists)), sizes)[at]
+        return pa.table({"gram": flat[at].view(np.int64), "id": own["id"].to_numpy()[whose], "n": own["n"].to_numpy()[whose], "pos": pos[at]})
+
+    postings = stored(sets.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(post, "gram long, id long, n int, pos int"))
+
+    def tag(batches):
         for batch in batches:
-            for x in batch["grams"].to_pylist():
-                at = _slot(mix(np.frombuffer(x, np.uint64)), BITS_SEEN)
-                counts[at] += counts[at] < 2
-        yield sketch_batch(counts)
+            tags = [np.sort((mix(np.frombuffer(x, np.uint64)) & np.uint64(0xFFFF)).astype(np.uint16)).tobytes() for x in batch["grams"].to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch["id"], pa.array(tags, pa.binary())], ["id", "tags"])
 
-    twice = spark.sparkContext.broadcast(merged_sketch(sets.select("grams").mapInArrow(often, SKETCH_SCHEMA), BITS_SEEN, over=1))
+    tags = sets.select("id", "grams").mapInArrow(tag, "id long, tags binary")
 
-    def post(batches):
+    def may_link(batches):
         for batch in batches:
-            out = []
-            for c, size, x in zip(batch["id"].to_pylist(), batch["n"].to_pylist(), batch["grams"].to_pylist(), strict=True):
-                grams = np.frombuffer(x, np.uint64)
-                at = np.flatnonzero(_bit(twice.value, _slot(mix(grams), BITS_SEEN)))
-                out.append((grams[at].view(np.int64), np.full(len(at), c), np.full(len(at), size, np.int32), at.astype(np.int32)))
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], ["gram", "id", "n", "pos"])
-
-    postings = sets.mapInArrow(post, "gram long, id long, n int, pos int")
-    shared = postings.groupBy("gram").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).filter("lo < hi").select("gram")
-    postings = stored(postings.join(shared, "gram"))
+            keep = []
+            for n_a, n_b, x, y in zip(batch["n_a"].to_pylist(), batch["n_b"].to_pylist(), batch["x"].to_pylist(), batch["y"].to_pylist(), strict=True):
+                x, y = np.frombuffer(x, np.uint16), np.frombuffer(y, np.uint16)
+                need = least_overlap(n_a, n_b, percent)
+                shared = max(np.isin(x, y).sum(), np.isin(y, x).sum())  # at least as many as the n-grams shared
+                keep.append(bool(shared >= min(len(x) - n_a, len(y) - n_b) + need))
+            yield batch.filter(pa.array(keep, pa.bool_())).select(["a", "b", "n_a", "n_b"])
+
+    def likely(pairs: DataFrame) -> DataFrame:
+        """The pairs that the tags of their first n-grams don't rule out."""
+        met = pairs.join(tags.select(F.col("id").alias("a"), F.col("tags").alias("x")).hint("merge"), "a").join(tags.select(F.col("id").alias("b"), F.col("tags").alias("y")).hint("merge"), "b")
+        return stored(met.select("a", "b", "n_a", "n_b", "x", "y").mapInArrow(may_link, "a long, b long, n_a int, n_b int"))
 
     def fits(a: str, b: str) -> str:
         need = f"ceil({percent} * ({a}.n + {b}.n) / {100 + percent}.0D - 1e-9)"
@@ -233,7 +287,7 @@ def join(docs: DataFrame, n: int = 5, percent: int = 80, fragments: int = FRAGME
     lead = postings.groupBy("gram").agg(F.min(F.struct("pos", "n", "id")).alias("y"))
     star = postings.alias("x").join(lead, "gram").filter("x.id <> y.id and " + fits("x", "y"))
     star = stored(star.select(F.col("y.id").alias("a"), F.col("x.id").alias("b"), F.col("y.n").alias("n_a"), F.col("x.n").alias("n_b")).distinct())
-    links = stored(_overlaps(star, docs, n, percent, fragments))
+    links = stored(_overlaps(likely(star), docs, n, percent, fragments))
     found = components(links)
 
     # round 2: n-grams whose sets are in different components
@@ -246,7 +300,7 @@ def join(docs: DataFrame, n: int = 5, percent: int = 80, fragments: int = FRAGME
     tried = star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     rest = stored(rest.join(tried, ["a", "b"], "left_anti"))
     if not rest.isEmpty():
-        found = components(links.union(_overlaps(rest, docs, n, percent, fragments)))
+        found = components(links.union(_overlaps(likely(rest), docs, n, percent, fragments)))
 
     # the smallest doc_id of each component, by way of its classes
     classes = seen.filter("id is not null").groupBy("id").agg(F.min("doc_id").alias("least")).join(found, "id", "left")
