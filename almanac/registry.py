@@ -4,8 +4,12 @@ from __future__ import annotations
 
 
 def queries() -> dict:
-    return {}
+    from .plans.queries import QUERIES
+
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from .plans.sql import ORACLES
+
+    return dict(ORACLES)
