@@ -12,9 +12,9 @@ from ..operators.store import Store
 
 
 def daily(events: DataFrame) -> DataFrame:
-    """Number and mean value of each event type and day of events (ts, event_type, value)."""
+    """Number and total value of each event type and day of events (ts, event_type, value)."""
     day = F.window("ts", "1 day")
-    return events.groupBy(day, "event_type").agg(F.count("*").alias("n"), F.avg(F.col("value").cast("decimal(18,6)")).cast("double").alias("mean")).select(F.col("window.start").cast("date").alias("date"), "event_type", "n", F.round("mean", 4).alias("mean"))
+    return events.groupBy(day, "event_type").agg(F.count("*").alias("n"), F.sum(F.col("value").cast("decimal(18,2)")).cast("double").alias("total")).select(F.col("window.start").cast("date").alias("date"), "event_type", "n", "total")
 
 
 def daily_stream(events: DataFrame, delay: str = "2 days") -> DataFrame:
