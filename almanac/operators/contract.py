@@ -15,8 +15,16 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import cutoff
 
-BY_SERIES = W.partitionBy("series_id")
-OBS = BY_SERIES.orderBy("date")
+
+def by_series():
+    """Window over a whole series. (A function, as windows need a session.)"""
+    return W.partitionBy("series_id")
+
+
+def obs():
+    """Window over a series in order of date."""
+    return by_series().orderBy("date")
+
 
 #: Checks in order: code and message.
 CODES = {
@@ -63,7 +71,7 @@ def validate(df: DataFrame, positive: bool = False, bounded: bool = False) -> Da
 
 
 def guard(df: DataFrame, positive: bool = False, bounded: bool = False) -> DataFrame:
-    """df, which raises when it runs if it breaks the contract; nothing runs yet. An empty input breaks it too."""
+    """df, which raises when it runs if it breaks the contract; nothing runs yet. An empty input may give an empty result instead; validate() always rejects it."""
     found = problems(df, positive, bounded)
     bad = F.col("n") == 0
     for k in found.columns:

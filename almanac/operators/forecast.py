@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.scalars import finite
-from .contract import OBS, visible
+from .contract import obs, visible
 
 MODELS = ("naive", "drift", "mean20")
 
@@ -20,7 +20,7 @@ def walk_forward_rows(df: DataFrame, as_of: dt.date, min_training: int = 200, ma
         raise ValueError("min_training is 20 to 20000, max_origins 1 to 1000, horizons some of 1, 5 and 20")
     if start is not None and start > as_of:
         raise ValueError("start must not be later than as_of")
-    rows = visible(df, as_of).select("series_id", "date", "value", (F.row_number().over(OBS) - 1).alias("i"), F.first("value").over(OBS).alias("first"), F.avg("value").over(OBS.rowsBetween(-19, 0)).alias("mean20"), *[F.struct(F.lead("date", h).over(OBS).alias("date"), F.lead("value", h).over(OBS).alias("value")).alias(f"t{h}") for h in horizons])
+    rows = visible(df, as_of).select("series_id", "date", "value", (F.row_number().over(obs()) - 1).alias("i"), F.first("value").over(obs()).alias("first"), F.avg("value").over(obs().rowsBetween(-19, 0)).alias("mean20"), *[F.struct(F.lead("date", h).over(obs()).alias("date"), F.lead("value", h).over(obs()).alias("value")).alias(f"t{h}") for h in horizons])
     rows = rows.filter(F.col("i") >= min_training - 1)
     rows = rows.select("*", F.explode(F.array(*[F.struct(F.lit(h).alias("horizon"), F.col(f"t{h}").alias("t")) for h in horizons])).alias("h")).filter("h.t.date is not null")
     if start is not None:

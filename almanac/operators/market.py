@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.scalars import finite, log_change_pct, pct, shift_months
-from .contract import OBS, visible
+from .contract import obs, visible
 
 EPSILON = 2.220446049250313e-16
 
@@ -57,14 +57,14 @@ def indexed_comparison(df: DataFrame, as_of: dt.date, start: dt.date) -> DataFra
     rows = visible(df, as_of).filter(F.col("date") >= F.lit(start))
     shared = rows.groupBy("date").agg(F.count("*").alias("n")).crossJoin(F.broadcast(everyone)).filter("n = all").select("date")  # one row
     rows = rows.join(shared, "date")
-    whole = OBS.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+    whole = obs().rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
     base = F.first("value").over(whole)
     return rows.select("series_id", "date", F.first("date").over(whole).alias("base_date"), F.when(F.min("value").over(whole) > 0, F.try_divide(F.col("value"), base) * 100).alias("value"))
 
 
 def returns(rows: DataFrame) -> DataFrame:
     """Changes between adjacent observations with positive endpoints, from each series' own dates."""
-    out = rows.select("series_id", F.lag("date").over(OBS).alias("start_date"), "date", pct(F.col("value"), F.lag("value").over(OBS)).alias("return_pct"))
+    out = rows.select("series_id", F.lag("date").over(obs()).alias("start_date"), "date", pct(F.col("value"), F.lag("value").over(obs())).alias("return_pct"))
     return out.filter("return_pct is not null")
 
 
@@ -79,7 +79,8 @@ def matched_intervals(df: DataFrame, as_of: dt.date) -> DataFrame:
 def _correlation(a: str, b: str, w):
     over = (lambda c: c.over(w)) if w is not None else (lambda c: c)
     spread_ = over(F.stddev_samp(a)) * over(F.stddev_samp(b))
-    return F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.try_divide(over(F.covar_samp(a, b)), F.nullif(spread_, F.lit(0.0)))))
+    raw = F.try_divide(over(F.covar_samp(a, b)), F.nullif(spread_, F.lit(0.0)))
+    return F.when(raw.isNotNull(), F.greatest(F.lit(-1.0), F.least(F.lit(1.0), raw)))  # least and greatest pass over nulls
 
 
 def rolling_correlation(df: DataFrame, as_of: dt.date, window: int = 60, start: dt.date | None = None) -> DataFrame:
@@ -121,7 +122,7 @@ def fx_variance(prices: DataFrame, fx: DataFrame, as_of: dt.date) -> DataFrame:
 
     Shares are null where the whole variance is within the resolution of the logs.
     """
-    logs = lambda rows: rows.select("series_id", F.lag("date").over(OBS).alias("start_date"), "date", log_change_pct(F.col("value"), F.lag("value").over(OBS)).alias("c")).filter("c is not null")
+    logs = lambda rows: rows.select("series_id", F.lag("date").over(obs()).alias("start_date"), "date", log_change_pct(F.col("value"), F.lag("value").over(obs())).alias("c")).filter("c is not null")
     a = logs(visible(prices, as_of))
     b = logs(visible(fx, as_of)).select("start_date", "date", F.col("c").alias("f"))
     rows = a.join(b, ["start_date", "date"]).withColumn("z", F.col("c") + F.col("f"))

@@ -11,12 +11,18 @@ from pyspark.sql import functions as F
 from ..functions.scalars import month_status, pct, window_start
 from .contract import visible
 
-YEAR, MONTH = F.year("date").alias("year"), F.month("date").alias("month")
+
+def _year() -> Column:
+    return F.year("date").alias("year")
+
+
+def _month() -> Column:
+    return F.month("date").alias("month")
 
 
 def monthly_means(rows: DataFrame) -> DataFrame:
     """Mean, number and last value of each year and month that has observations."""
-    return rows.groupBy("series_id", YEAR, MONTH).agg(F.avg("value").alias("mean"), F.count("*").alias("n"), F.max_by("value", "date").alias("last"))
+    return rows.groupBy("series_id", _year(), _month()).agg(F.avg("value").alias("mean"), F.count("*").alias("n"), F.max_by("value", "date").alias("last"))
 
 
 def _months() -> Column:
@@ -74,7 +80,7 @@ def seasonal_distribution(df: DataFrame, as_of: dt.date, years: int = 10) -> Dat
 def year_bases(df: DataFrame, as_of: dt.date) -> DataFrame:
     """Each year's first visible observation. The whole input must be positive."""
     rows = visible(df, as_of, positive=True)
-    return rows.groupBy("series_id", YEAR).agg(F.min("date").alias("base_date"), F.min_by("value", "date").alias("base_value"))
+    return rows.groupBy("series_id", _year()).agg(F.min("date").alias("base_date"), F.min_by("value", "date").alias("base_value"))
 
 
 def normalized_profile(df: DataFrame, as_of: dt.date, years: int = 10) -> DataFrame:
@@ -89,7 +95,7 @@ def partial_month_years(df: DataFrame, as_of: dt.date, years: int = 5) -> DataFr
     """For the cutoff's year and each of the years before: the mean of the cutoff's month up to its day (or the month's last)."""
     start = window_start(as_of, years)
     rows = visible(df, as_of).filter(F.col("date") >= F.lit(dt.date(start, as_of.month, 1))).filter(F.month("date") == as_of.month).filter(F.dayofmonth("date") <= as_of.day)
-    stats = rows.groupBy("series_id", YEAR).agg(F.avg("value").alias("mean"), F.count("*").alias("observation_count"))
+    stats = rows.groupBy("series_id", _year()).agg(F.avg("value").alias("mean"), F.count("*").alias("observation_count"))
     grid = df.select("series_id").distinct().select("series_id", F.explode(F.sequence(F.lit(start), F.lit(as_of.year))).alias("year"))
     first = F.make_date("year", F.lit(as_of.month), F.lit(1))
     through = F.least(F.date_add(first, as_of.day - 1), F.last_day(first))

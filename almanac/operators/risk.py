@@ -9,12 +9,11 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.scalars import pct
-from .contract import BY_SERIES, OBS, visible
+from .contract import by_series, obs, visible
 from .technical import interval_changes
 
 #: One over the tail's share, and the least number of intervals (five of tail mass), by confidence.
 TAILS = {0.95: (20, 100), 0.99: (100, 500)}
-WHOLE = W.unboundedPreceding, W.unboundedFollowing
 
 
 def var_es(df: DataFrame, as_of: dt.date, horizon: int = 1, confidence: float = 0.95, direction: str = "buyer") -> DataFrame:
@@ -27,7 +26,7 @@ def var_es(df: DataFrame, as_of: dt.date, horizon: int = 1, confidence: float =
     parts, least = TAILS[confidence]
     loss = F.col("change") * (1 if direction == "buyer" else -1)
     rows = interval_changes(df, as_of, horizon, bounded=True).filter("change is not null").select("series_id", loss.alias("loss"), "end_date")
-    rows = rows.withColumn("n", F.count("*").over(BY_SERIES)).withColumn("k", F.row_number().over(BY_SERIES.orderBy(F.desc("loss"), "end_date")))
+    rows = rows.withColumn("n", F.count("*").over(by_series())).withColumn("k", F.row_number().over(by_series().orderBy(F.desc("loss"), "end_date")))
     # rank ceil(c * n) upwards, in whole numbers, is rank n + 1 - that downwards
     up = F.ceil(F.col("n") * (parts - 1) / parts)
     mass = F.col("n") / parts
@@ -69,14 +68,14 @@ def top_moves(df: DataFrame, as_of: dt.date, horizon: int = 1, k: int = 5) -> Da
 
 
 def _extreme(df: DataFrame, as_of: dt.date, rise: bool) -> DataFrame:
-    rows = visible(df, as_of).withColumn("i", F.row_number().over(OBS).cast("long"))
-    rows = rows.withColumn("segment", F.count_if(F.col("value") <= 0).over(OBS.rowsBetween(W.unboundedPreceding, 0))).filter("value > 0")
+    rows = visible(df, as_of).withColumn("i", F.row_number().over(obs()).cast("long"))
+    rows = rows.withColumn("segment", F.count_if(F.col("value") <= 0).over(obs().rowsBetween(W.unboundedPreceding, 0))).filter("value > 0")
     before = W.partitionBy("series_id", "segment").orderBy("date").rowsBetween(W.unboundedPreceding, -1)
     sign = -1 if rise else 1
     point, key = F.struct("date", "i", "value"), F.struct((sign * F.col("value")).alias("v"), (-F.col("i")).alias("k"))
     rows = rows.withColumn("p", F.max_by(point, key).over(before)).filter("p is not null")
     rows = rows.withColumn("change", pct(F.col("value"), F.col("p.value"))).filter("change >= 0" if rise else "change <= 0")
-    best = F.row_number().over(BY_SERIES.orderBy(F.desc("change") if rise else F.asc("change"), "date"))
+    best = F.row_number().over(by_series().orderBy(F.desc("change") if rise else F.asc("change"), "date"))
     return rows.withColumn("_k", best).filter("_k = 1").select("series_id", F.col("p.date").alias("start_date"), F.col("date").alias("end_date"), (F.col("i") - F.col("p.i")).alias("observed_intervals"), "change")
 
 

@@ -42,8 +42,8 @@ def version_diff_counts(older: DataFrame, newer: DataFrame) -> DataFrame:
 
 def merge_keep_last(older: DataFrame, newer: DataFrame) -> DataFrame:
     """All dates of both; where both have one, the newer value."""
-    rows = older.select("series_id", "date", "value", F.lit(0).alias("_p")).unionByName(newer.select("series_id", "date", "value", F.lit(1).alias("_p")))
-    return rows.groupBy("series_id", "date").agg(F.max_by("value", "_p").alias("value"))
+    rows = version_diff(older, newer)
+    return rows.select("series_id", "date", F.when(F.col("state") == "absent", F.col("old_value")).otherwise(F.col("new_value")).alias("value"))
 
 
 def upsert_classify(current: DataFrame, incoming: DataFrame) -> DataFrame:

@@ -10,20 +10,20 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.scalars import log_change, pct, shift_months
-from .contract import BY_SERIES, OBS, visible
+from .contract import by_series, obs, visible
 
 
 def _frame(n: int):
-    return OBS.rowsBetween(-(n - 1), 0)
+    return obs().rowsBetween(-(n - 1), 0)
 
 
 def sma(n: int) -> Column:
-    return F.when(F.row_number().over(OBS) >= n, F.avg("value").over(_frame(n)))
+    return F.when(F.row_number().over(obs()) >= n, F.avg("value").over(_frame(n)))
 
 
 def technical(df: DataFrame, as_of: dt.date) -> DataFrame:
     """SMA of 20, 100 and 200 observations and bands of two population deviations about SMA20."""
-    deviation = F.when(F.row_number().over(OBS) >= 20, F.stddev_pop("value").over(_frame(20)))
+    deviation = F.when(F.row_number().over(obs()) >= 20, F.stddev_pop("value").over(_frame(20)))
     rows = visible(df, as_of).select("series_id", "date", "value", sma(20).alias("sma20"), sma(100).alias("sma100"), sma(200).alias("sma200"), deviation.alias("_sd"))
     return rows.select("series_id", "date", "value", "sma20", "sma100", "sma200", (F.col("sma20") + 2 * F.col("_sd")).alias("upper"), (F.col("sma20") - 2 * F.col("_sd")).alias("lower"))
 
@@ -90,7 +90,7 @@ def rsi_last(df: DataFrame, as_of: dt.date, n: int = 14) -> DataFrame:
 
 def volatility(df: DataFrame, as_of: dt.date) -> DataFrame:
     """Sample deviation of log changes over 20 and 60 intervals, in per cent; null if an interval in it has an endpoint of 0 or less."""
-    rows = visible(df, as_of).withColumn("lc", log_change(F.col("value"), F.lag("value").over(OBS)))
+    rows = visible(df, as_of).withColumn("lc", log_change(F.col("value"), F.lag("value").over(obs())))
     out = {f"volatility{n}": F.when(F.count("lc").over(_frame(n)) == n, F.stddev_samp("lc").over(_frame(n)) * 100) for n in (20, 60)}
     return rows.select("series_id", "date", *[c.alias(k) for k, c in out.items()])
 
@@ -100,7 +100,7 @@ def interval_changes(df: DataFrame, as_of: dt.date, horizon: int = 1, bounded: b
     if horizon not in (1, 5, 20):
         raise ValueError("the horizon must be 1, 5 or 20 observed intervals")
     rows = visible(df, as_of, bounded=bounded)
-    out = rows.select("series_id", F.lag("date", horizon).over(OBS).alias("start_date"), F.col("date").alias("end_date"), pct(F.col("value"), F.lag("value", horizon).over(OBS)).alias("change"))
+    out = rows.select("series_id", F.lag("date", horizon).over(obs()).alias("start_date"), F.col("date").alias("end_date"), pct(F.col("value"), F.lag("value", horizon).over(obs())).alias("change"))
     return out.filter("start_date is not null")
 
 
@@ -119,20 +119,19 @@ def indicator_availability(df: DataFrame, as_of: dt.date) -> DataFrame:
 
 def level_position(df: DataFrame, as_of: dt.date) -> DataFrame:
     """Midrank of the last value among those of the last one and five years: 100 * (below + half of equal) / n, the last one included."""
-    rows = visible(df, as_of).withColumn("latest", F.last("value").over(OBS.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)))
-    out = []
-    for name, years in (("one_year", 1), ("five_year", 5)):
-        start = shift_months(as_of, 12 * years)
-        own = rows.filter(F.col("date") >= F.lit(start))
-        out.append(own.groupBy("series_id").agg(F.lit(name).alias("span"), F.lit(start).alias("start_date"), F.min("value").alias("minimum"), F.max("value").alias("maximum"), (100 * (F.count_if(F.col("value") < F.col("latest")) + 0.5 * F.count_if(F.col("value") == F.col("latest"))) / F.count("*")).alias("percentile"), F.count("*").alias("observation_count")))
-    return out[0].unionByName(out[1])
+    rows = visible(df, as_of).withColumn("latest", F.last("value").over(obs().rowsBetween(W.unboundedPreceding, W.unboundedFollowing)))
+    spans = [(name, shift_months(as_of, 12 * years)) for name, years in (("one_year", 1), ("five_year", 5))]
+    spans = F.array(*[F.struct(F.lit(name).alias("span"), F.lit(start).alias("start_date")) for name, start in spans])
+    rows = rows.select("*", F.explode(spans).alias("s")).filter(F.col("date") >= F.col("s.start_date"))
+    below, equal = F.count_if(F.col("value") < F.col("latest")), F.count_if(F.col("value") == F.col("latest"))
+    return rows.groupBy("series_id", F.col("s.span").alias("span"), F.col("s.start_date").alias("start_date")).agg(F.min("value").alias("minimum"), F.max("value").alias("maximum"), (100 * (below + 0.5 * equal) / F.count("*")).alias("percentile"), F.count("*").alias("observation_count"))
 
 
 def snapshot_changes(df: DataFrame, as_of: dt.date) -> DataFrame:
     """The last level against the observation before it and the last ones at or before a month ago, a quarter ago and the last year's end."""
     rows = visible(df, as_of)
     targets = {"previous": None, "month": shift_months(as_of, 1), "quarter": shift_months(as_of, 3), "ytd": dt.date(as_of.year - 1, 12, 31) if as_of.year > 1 else None}
-    rank = F.row_number().over(BY_SERIES.orderBy(F.desc("date")))
+    rank = F.row_number().over(by_series().orderBy(F.desc("date")))
     rows = rows.withColumn("_k", rank)
     refs = [F.max(F.when((F.col("_k") > 1) if k == "previous" else (F.col("date") <= F.lit(t)), F.struct("date", "value"))).alias(k) for k, t in targets.items() if k == "previous" or t]
     wide = rows.groupBy("series_id").agg(F.max(F.struct("date", "value")).alias("latest"), *refs)

@@ -138,7 +138,8 @@ q("matched_intervals", f"SELECT left_id, right_id, start_date, date, {r('x', 6)}
 
 
 def corr(over: str) -> str:
-    return f"greatest(-1, least(1, covar_samp(x, y){over} / nullif(stddev_samp(x){over} * stddev_samp(y){over}, 0)))"
+    raw = f"covar_samp(x, y){over} / nullif(stddev_samp(x){over} * stddev_samp(y){over}, 0)"
+    return f"CASE WHEN {raw} IS NOT NULL THEN greatest(-1, least(1, {raw})) END"
 
 
 _w = " OVER " + frame(20, "left_id, right_id")

@@ -20,7 +20,7 @@ def parse(spark: SparkSession, content: bytes) -> DataFrame:
     if "<!DOCTYPE" in text or "<!ENTITY" in text:
         raise ValueError("declarations are not supported")
     rows = spark.createDataFrame([(text,)], "xml string").select(F.from_xml("xml", _SCHEMA, {"ignoreNamespace": "true"}).alias("e"))
-    days = rows.select(F.explode("e.Cube.Cube").alias("d")).select(F.try_to_date("d._time", F.lit("yyyy-MM-dd")).alias("date"), F.explode("d.Cube").alias("q"))
+    days = rows.select(F.explode("e.Cube.Cube").alias("d")).select(F.try_to_date("d._time", "yyyy-MM-dd").alias("date"), F.explode("d.Cube").alias("q"))
     rates = days.select("date", F.col("q._currency").alias("currency"), F.col("q._rate").try_cast("double").alias("rate")).filter(F.col("currency").isin(*CURRENCIES))
     found = rates.groupBy("date").agg(F.count("*").alias("n"), F.count_distinct("currency").alias("k"), F.min("rate").alias("low"), F.max("rate").alias("high"), F.count("rate").alias("valid"))
     bad = found.filter("date is null or n <> 2 or k <> 2 or valid <> 2 or not (low > 0) or high = double('infinity')")

@@ -23,5 +23,5 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     if not body.filter(F.size("fields") != len(HEADER)).isEmpty():
         raise ValueError("a row has another number of fields")
     text = body.select(*[F.get("fields", F.lit(k)).alias(c) for k, c in enumerate(HEADER)])
-    date = F.when(F.col("publication_date").rlike(r"^\d{4}-\d{2}-\d{2}$"), F.try_to_date("publication_date", F.lit("yyyy-MM-dd")))
+    date = F.when(F.col("publication_date").rlike(r"^\d{4}-\d{2}-\d{2}$"), F.try_to_date("publication_date", "yyyy-MM-dd"))
     return validate(text.select(date.alias("publication_date"), *HEADER[1:5], *[number(F.col(c)).alias(c) for c in HEADER[5:]]))
