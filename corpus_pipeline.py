@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from almanac.llm import line_dedup, ngram_join, packing, quality_rules, secret_scan
-from almanac.llm.common import documents, stored
+from almanac.llm.common import documents, small_batches, stored
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,6 +28,7 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of texts linked by five-word shingles (Jaccard of 0.8 or more) one document stays, the least doc_id; texts without words all stay."""
+    small_batches(spark)
     return ngram_join.keep_one(docs, n=5, percent=80)
 
 
@@ -38,6 +39,7 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents are tokenised and packed into sequences of at most 2048 tokens."""
+    small_batches(spark)
     return packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"), 2048, public_tokenizers.path("byte_bpe_50k.tiktoken"))
 
 
