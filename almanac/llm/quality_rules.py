@@ -157,3 +157,39 @@ def keep(docs: DataFrame) -> DataFrame:
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(documents(spark, sf_dir)).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+def _sql() -> str:
+    values = {"symbols_per_word": "n_symbols / w", "chars_per_word": "word_chars / w", "repeated_words": "n_repeat_words / w", "repeated_lines": "n_dup_lines / greatest(n_lines, 1)", "capitals": "n_capitals / greatest(word_chars, 1)", "top_word": "n_top_word / w"}
+    long = " UNION ALL ".join(f"SELECT doc_id, lang, source, n_words, '{k}' AS rule, {v} AS value, CAST({RULES[k][1]} AS DOUBLE) AS least, CAST({RULES[k][2]} AS DOUBLE) AS never, {str(RULES[k][0]).lower()} AS low FROM s" for k, v in values.items())
+    quartile = lambda by: f"SELECT {by}rule, min(value) FILTER (WHERE run >= 0.25 * docs) AS q1, min(value) FILTER (WHERE run >= 0.75 * docs) AS q3, any_value(docs) AS docs FROM (SELECT {by}rule, CASE WHEN bucket <= -1000 THEN 0 ELSE 2 * pow({GAMMA}, bucket) / ({GAMMA} + 1) END AS value, sum(n) OVER (PARTITION BY {by}rule ORDER BY bucket) AS run, sum(n) OVER (PARTITION BY {by}rule) AS docs FROM (SELECT {by}rule, bucket, count(*) AS n FROM b GROUP BY ALL)) GROUP BY ALL"
+    return f"""
+WITH t AS (
+  SELECT doc_id, coalesce(lang, '') AS lang, coalesce(source, '') AS source, coalesce(text, '') AS x, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS ws, list_filter(string_split(coalesce(text, ''), chr(10)), lambda l: regexp_matches(l, '[^\\x20\\x09-\\x0D]')) AS ls FROM documents
+), windows AS (
+  SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, list_slice(ws, i, i + 7)) AS k FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 6)) AS i FROM t WHERE len(ws) >= {WINDOW})
+), covered AS (
+  SELECT doc_id, count(DISTINCT i + d) AS n FROM windows, (SELECT unnest(range({WINDOW})) AS d) WHERE k > 1 GROUP BY 1
+), tops AS (
+  SELECT doc_id, max(c) AS n FROM (SELECT doc_id, word, count(*) AS c FROM (SELECT doc_id, unnest(ws) AS word FROM t) GROUP BY 1, 2) GROUP BY 1
+), s AS (
+  SELECT t.doc_id, lang, source, len(ws) AS n_words, CAST(greatest(len(ws), 1) AS DOUBLE) AS w, length(array_to_string(ws, '')) AS word_chars, length(x) - length(regexp_replace(x, '[#*$%&|<>]', '', 'g')) AS n_symbols,
+    len(ls) - len(list_distinct(ls)) AS n_dup_lines, coalesce(c.n, 0) AS n_repeat_words, CAST(len(ls) AS DOUBLE) AS n_lines, coalesce(m.n, 0) AS n_top_word, CAST(length(regexp_replace(x, '[^\\p{{Lu}}]', '', 'g')) AS DOUBLE) AS n_capitals,
+    len(ws) < 20 OR 100 * coalesce(c.n, 0) > 30 * len(ws) AS base_failed
+  FROM t LEFT JOIN covered c ON c.doc_id = t.doc_id LEFT JOIN tops m ON m.doc_id = t.doc_id
+), v AS ({long}
+), b AS (
+  SELECT v.*, CASE WHEN value < 1e-6 THEN -1000 ELSE CAST(ceil(ln(value) / ln({GAMMA})) AS INTEGER) END AS bucket FROM v JOIN s ON s.doc_id = v.doc_id AND NOT s.base_failed
+), q1 AS ({quartile("lang, source, ")}), q2 AS ({quartile("lang, ")}), q3 AS ({quartile("")}
+), u AS (
+  SELECT q1.lang, q1.source, q1.rule, CASE WHEN q1.docs >= {LEAST} THEN q1.q1 WHEN q2.docs >= {LEAST} THEN q2.q1 ELSE q3.q1 END AS a, CASE WHEN q1.docs >= {LEAST} THEN q1.q3 WHEN q2.docs >= {LEAST} THEN q2.q3 ELSE q3.q3 END AS z
+  FROM q1 JOIN q2 ON q1.lang = q2.lang AND q1.rule = q2.rule JOIN q3 ON q1.rule = q3.rule
+), bad AS (
+  SELECT DISTINCT v.doc_id FROM v JOIN u ON u.lang = v.lang AND u.source = v.source AND u.rule = v.rule
+  WHERE value > greatest(z + {FAR} * greatest(z - a, least), never) + {SLACK} / sqrt(greatest(n_words, 1)) OR (low AND value < a - {FAR} * greatest(z - a, least) - {SLACK} / sqrt(greatest(n_words, 1)))
+)
+SELECT s.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND b.doc_id IS NULL AS kept FROM s LEFT JOIN bad b ON b.doc_id = s.doc_id
+"""
+
+
+OP8_SQL = _sql()
