@@ -2,7 +2,7 @@
 
 The whole input is checked before the cutoff takes rows away: a bad row after the cutoff still
 rejects the call. A filter on dates would be pushed below a check inside the same projection, so
-the lazy check is a row of its own that the filter needs.
+the lazy check is a subquery of its own that a filter needs.
 """
 
 from __future__ import annotations
@@ -71,13 +71,13 @@ def validate(df: DataFrame, positive: bool = False, bounded: bool = False) -> Da
 
 
 def guard(df: DataFrame, positive: bool = False, bounded: bool = False) -> DataFrame:
-    """df, which raises when it runs if it breaks the contract; nothing runs yet. An empty input may give an empty result instead; validate() always rejects it."""
+    """df, which raises when it runs if it breaks the contract; nothing runs yet. An input known to be empty may give an empty result instead; validate() always rejects it."""
     found = problems(df, positive, bounded)
     bad = F.col("n") == 0
     for k in found.columns:
         bad = bad | (F.col(k) > 0) if k != "n" else bad
-    ok = found.select(F.when(bad, F.raise_error(F.lit("the input breaks the contract of a prepared series")).cast("boolean")).otherwise(F.lit(True)).alias("_ok"))
-    return df.crossJoin(F.broadcast(ok)).filter("_ok").drop("_ok")  # one row
+    ok = found.select(F.when(bad, F.raise_error(F.lit("the input breaks the contract of a prepared series")).cast("boolean")).otherwise(F.lit(True)).alias("ok"))
+    return df.filter(ok.scalar())  # a subquery of one value
 
 
 def visible(df: DataFrame, as_of: dt.date, check: bool = True, positive: bool = False, bounded: bool = False) -> DataFrame:

@@ -31,8 +31,8 @@ def fx_convert_counts(prices: DataFrame, fx: DataFrame, as_of: dt.date) -> DataF
     seen, rates = visible(prices, as_of), _rates(fx, as_of)
     own = seen.join(rates, "date", "left").groupBy("series_id").agg(F.count("rate").alias("matched"), F.count_if(F.col("rate").isNull()).alias("unmatched_price_observations"))
     late = prices.groupBy("series_id").agg(F.count_if(F.col("date") > F.lit(as_of)).alias("excluded_future_price_observations"))
-    sides = fx.agg(F.count_if(F.col("date") <= F.lit(as_of)).alias("n"), F.count_if(F.col("date") > F.lit(as_of)).alias("excluded_future_fx_observations"))
-    out = late.join(own, "series_id", "left").crossJoin(F.broadcast(sides))  # one row
+    sides = [fx.agg(F.count_if(c).alias("n")).scalar() for c in (F.col("date") <= F.lit(as_of), F.col("date") > F.lit(as_of))]
+    out = late.join(own, "series_id", "left").withColumns({"n": sides[0], "excluded_future_fx_observations": sides[1]})
     zero = lambda c: F.coalesce(c, F.lit(0).cast("long"))
     return out.select("series_id", zero("matched").alias("matched"), zero("unmatched_price_observations").alias("unmatched_price_observations"), (F.col("n") - zero("matched")).alias("unmatched_fx_observations"), "excluded_future_price_observations", "excluded_future_fx_observations")
 
@@ -53,9 +53,9 @@ def indexed_comparison(df: DataFrame, as_of: dt.date, start: dt.date) -> DataFra
     """
     if start > as_of:
         raise ValueError("start must not be later than as_of")
-    everyone = df.agg(F.count_distinct("series_id").alias("all"))
+    everyone = df.agg(F.count_distinct("series_id").alias("all")).scalar()
     rows = visible(df, as_of).filter(F.col("date") >= F.lit(start))
-    shared = rows.groupBy("date").agg(F.count("*").alias("n")).crossJoin(F.broadcast(everyone)).filter("n = all").select("date")  # one row
+    shared = rows.groupBy("date").agg(F.count("*").alias("n")).filter(F.col("n") == everyone).select("date")
     rows = rows.join(shared, "date")
     whole = obs().rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
     base = F.first("value").over(whole)

@@ -177,8 +177,8 @@ def sheet_series(cells: DataFrame, sheet: str, *, as_of: dt.date, date_column: i
         raise ValueError(f"{check['n']} rows without a valid date, {check['twice']} repeated dates")
     value = F.coalesce("num", number(F.trim("text"), decimal))
     value = F.when((value == 0) | F.abs(value).between(1e-100, 1e100), value)
-    table = cells.sparkSession.createDataFrame([(m["column"], m["title"].strip(), r in RATES) for m, r in zip(mappings, roles, strict=True)], "col int, series_id string, positive boolean")
-    every = grid.crossJoin(F.broadcast(table))  # 20 rows at most
+    table = F.array(*[F.struct(F.lit(m["column"]).alias("col"), F.lit(m["title"].strip()).alias("series_id"), F.lit(r in RATES).alias("positive")) for m, r in zip(mappings, roles, strict=True)])
+    every = grid.select("*", F.inline(table))
     rows = every.join(used.select("row", "col", value.alias("value"), F.lit(True).alias("there")), ["row", "col"], "left")
     check = rows.agg(F.count_if(F.col("there") & F.col("value").isNull()).alias("bad"), F.count_if(F.col("there").isNull()).alias("blank"), F.count_if(F.col("positive") & (F.col("value") <= 0)).alias("rates")).first()
     if check["bad"] or check["rates"] or check["blank"] and not skip_blank_rows:
