@@ -115,7 +115,7 @@ def _place(docs: DataFrame, n: int) -> DataFrame:
     if n == 1:
         return docs.withColumn("part", F.lit(0))
     edge = docs.agg(F.coalesce(F.percentile_approx("doc_id", [k / n for k in range(1, n)], 100 * n), F.array().cast("array<long>")).alias("bounds"))
-    docs = docs.crossJoin(F.broadcast(edge))  # one row
+    docs = docs.withColumn("bounds", edge.scalar())  # a subquery of one value
     share = F.col("tie").cast("double") / F.lit(2.0**63)
     under = _count(F.col("bounds"), F.col("doc_id"), lambda b, x: b < x)
     equal = _count(F.col("bounds"), F.col("doc_id"), lambda b, x: b <= x) - under
