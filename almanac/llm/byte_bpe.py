@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, mix
+from .common import documents, lean, mix
 
 KEPT = 400_000  # pre-tokens that a worker remembers; it forgets all when it has more
 
@@ -214,7 +214,7 @@ def encode(docs: DataFrame, vocabulary: str, pattern: str, step: int = 1 << 20)
                 lo = hi
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, ids binary, n_tokens long, decoded binary")
+    return docs.select("doc_id", "text").mapInArrow(lean(run), f"doc_id {kind}, ids binary, n_tokens long, decoded binary")
 
 
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
+import gc
 import tempfile
 import uuid
 import zlib
@@ -69,6 +72,22 @@ def id_remainder(column, n: int):
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % n
 
 
+def lean(function):
+    """A function over batches that gives its memory back to the system when it ends: workers stay for later tasks."""
+
+    @functools.wraps(function)
+    def run(batches):
+        yield from function(batches)
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+        except OSError:
+            pass  # another libc
+
+    return run
+
+
 # ---------------------------------------------------------------- text as numpy
 
 
@@ -149,34 +168,59 @@ PARTS = 32  # rows that a sketch is cut into
 
 
 def sketch_batch(counts: np.ndarray) -> pa.RecordBatch:
-    """A sketch of counts up to 255 (uint8, saturated) or more (uint32) as a row for each part that isn't empty."""
+    """A sketch of counts (uint32) as a row for each part that isn't empty."""
     rows = [(k, pack(x)) for k, x in enumerate(np.split(counts, PARTS)) if x.any()]
     return pa.RecordBatch.from_arrays([pa.array([k for k, _ in rows], pa.int32()), pa.array([x for _, x in rows], pa.binary())], ["part", "counts"])
 
 
-def merged_sketch(rows: DataFrame, bits: int, over: int | None = None) -> np.ndarray:
-    """The sum of the sketches in rows (part, counts): 2**bits counters, or with ``over`` a bit for each, whether it is larger.
+def bit_batch(bits: np.ndarray) -> pa.RecordBatch:
+    """A sketch of packed bits as a row for each part that isn't empty."""
+    rows = [(k, zlib.compress(x.tobytes(), 1)) for k, x in enumerate(np.split(bits, PARTS)) if x.any()]
+    return pa.RecordBatch.from_arrays([pa.array([k for k, _ in rows], pa.int32()), pa.array([x for _, x in rows], pa.binary())], ["part", "counts"])
+
+
+def merged_bits(rows: DataFrame, bits: int) -> np.ndarray:
+    """The union of the bit sketches in rows (part, counts), packed; like merged_sketch()."""
+    size = (1 << bits) // 8 // PARTS
+
+    def add(batches):
+        unions: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for part, x in zip(batch["part"].to_pylist(), batch["counts"].to_pylist(), strict=True):
+                own = unions.setdefault(part, np.zeros(size, np.uint8))
+                own |= np.frombuffer(zlib.decompress(x), np.uint8)
+        yield pa.RecordBatch.from_arrays([pa.array(list(unions), pa.int32()), pa.array([zlib.compress(x.tobytes(), 1) for x in unions.values()], pa.binary())], ["part", "counts"])
+
+    n = partitions(rows.sparkSession)
+    if n > 8 * PARTS:
+        rows = rows.withColumn("salt", F.floor(F.rand(1) * (n // PARTS))).repartition(n, "part", "salt").drop("salt").mapInArrow(lean(add), SKETCH_SCHEMA)
+    out = np.zeros((PARTS, size), np.uint8)
+    for r in rows.repartition(min(PARTS, n), "part").mapInArrow(lean(add), SKETCH_SCHEMA).collect():
+        out[r["part"]] |= np.frombuffer(zlib.decompress(r["counts"]), np.uint8)
+    return out.reshape(-1)
+
+
+def merged_sketch(rows: DataFrame, bits: int) -> np.ndarray:
+    """The sum of the count sketches in rows (part, counts): 2**bits counters (uint32, saturated).
 
     Parts are summed where their rows meet, one row at a time; where there are many rows, first
-    in several tasks for each part. Only the summed counters or bits come to the driver; their
-    size doesn't depend on the input.
+    in several tasks for each part. Only the summed counters come to the driver; their size
+    doesn't depend on the input.
     """
-    width, wide = (1 << bits) // PARTS, over is None
+    width = (1 << bits) // PARTS
 
-    def add(batches, last: bool):
+    def add(batches):
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
             for part, counts in zip(batch["part"].to_pylist(), batch["counts"].to_pylist(), strict=True):
-                raw = zlib.decompress(counts)
                 x = sums.setdefault(part, np.zeros(width, np.uint32))
-                x += np.minimum(np.frombuffer(raw, np.uint8 if len(raw) == width else np.uint32), 2**32 - 1 - x)
-        out = [pack(x) if wide or not last else np.packbits(x > over).tobytes() for x in sums.values()]
-        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array(out, pa.binary())], ["part", "counts"])
+                x += np.minimum(unpack(counts, np.uint32), 2**32 - 1 - x)
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([pack(x) for x in sums.values()], pa.binary())], ["part", "counts"])
 
     n = partitions(rows.sparkSession)
     if n > 8 * PARTS:
-        rows = rows.withColumn("salt", F.floor(F.rand(1) * (n // PARTS))).repartition(n, "part", "salt").drop("salt").mapInArrow(lambda x: add(x, False), SKETCH_SCHEMA)
-    out = np.zeros((PARTS, width), np.uint32) if wide else np.zeros((PARTS, width // 8), np.uint8)
-    for r in rows.repartition(min(PARTS, n), "part").mapInArrow(lambda x: add(x, True), SKETCH_SCHEMA).collect():
-        out[r["part"]] = unpack(r["counts"], np.uint32) if wide else np.frombuffer(r["counts"], np.uint8)
+        rows = rows.withColumn("salt", F.floor(F.rand(1) * (n // PARTS))).repartition(n, "part", "salt").drop("salt").mapInArrow(lean(add), SKETCH_SCHEMA)
+    out = np.zeros((PARTS, width), np.uint32)
+    for r in rows.repartition(min(PARTS, n), "part").mapInArrow(lean(add), SKETCH_SCHEMA).collect():
+        out[r["part"]] = unpack(r["counts"], np.uint32)
     return out.reshape(-1)

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import documents, partitions
+from .common import documents, lean, partitions
 
 _BLANK = re.compile(r"\n(?:[ \t\r]*\n)+")
 _RUN = re.compile(r"(?:[^ .!?]* ){0,7}[^ .!?]*(?:[.!?]+ *| +|\Z)")
@@ -163,7 +163,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
                 before = None if last else (doc, text, print_)  # the part's end
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True) if out else [[]] * 7, (batch["doc_id"].type, pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()), strict=True)], names)
 
-    return dealt.select("last", "doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+    return dealt.select("last", "doc_id", "text").mapInArrow(lean(run), f"doc_id {kind}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
 
 
 def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import _IS_SPACE, SPACES, documents, id_remainder, lowered, pack, partitions, slices, span_hashes, stored, unpack, words
+from .common import _IS_SPACE, SPACES, documents, id_remainder, lean, lowered, pack, partitions, slices, span_hashes, stored, unpack, words
 
 LONGEST = 48  # bytes of a chunk that the vectorised recursion takes; longer ones run alone
 
@@ -253,7 +253,7 @@ def learn_scores(shards: DataFrame, pieces: list[bytes], ends: int, rounds: int)
             yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(total[at])], ["piece", "n"])
 
         counts = np.zeros(len(pieces))
-        for r in shards.select("chunks", "ends", "counts").mapInArrow(expect, "piece int, n double").groupBy("piece").agg(F.sum("n").alias("n")).collect():  # a row for each piece at most
+        for r in shards.select("chunks", "ends", "counts").mapInArrow(lean(expect), "piece int, n double").groupBy("piece").agg(F.sum("n").alias("n")).collect():  # a row for each piece at most
             counts[r["piece"]] = r["n"]
         counts += 0.1
         total = counts.sum() + ends + 0.5
@@ -297,7 +297,7 @@ def score(docs: DataFrame, train, vocabulary: str, rounds: int = 3) -> DataFrame
                     at += size
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int32(), pa.int32(), pa.binary(), pa.binary()), strict=True)], ["block", "shard", "word_counts", "scores"])
 
-    answers = shards.select("shard", "chunks", "ends", "word_counts", "blocks", "sizes", "uses").mapInArrow(answer, ANSWERS)
+    answers = shards.select("shard", "chunks", "ends", "word_counts", "blocks", "sizes", "uses").mapInArrow(lean(answer), ANSWERS)
     whole = tokens + 0.5 * (distinct + 1)
 
     def finish(table: pa.Table, got: pa.Table) -> pa.Table:

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SKETCH_SCHEMA, documents, lowered, merged_sketch, mix, partitions, sketch_batch, slices, span_hashes, stored, words
+from .common import SKETCH_SCHEMA, bit_batch, documents, lean, lowered, merged_bits, merged_sketch, mix, partitions, sketch_batch, slices, span_hashes, stored, words
 
 BITS = 22  # the count sketch has 2**22 counters
 BITS_SEEN = 25  # the sketch of sets that are asked for has 2**25 bits
@@ -127,12 +127,13 @@ def _overlaps(pairs: DataFrame, docs: DataFrame, n: int, percent: int, fragments
     ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
 
     def mark(batches):
-        bits = np.zeros(1 << BITS_SEEN, np.uint8)
+        bits = np.zeros(1 << (BITS_SEEN - 3), np.uint8)
         for batch in batches:
-            bits[_slot(mix(batch["id"].to_numpy().view(np.uint64)), BITS_SEEN)] = 1
-        yield sketch_batch(bits)
+            at = _slot(mix(batch["id"].to_numpy().view(np.uint64)), BITS_SEEN)
+            np.bitwise_or.at(bits, at >> 3, (128 >> (at & 7)).astype(np.uint8))
+        yield bit_batch(bits)
 
-    wanted = spark.sparkContext.broadcast(merged_sketch(ids.mapInArrow(mark, SKETCH_SCHEMA), BITS_SEEN, over=0))
+    wanted = spark.sparkContext.broadcast(merged_bits(ids.mapInArrow(lean(mark), SKETCH_SCHEMA), BITS_SEEN))
     edges = np.linspace(0, 2.0**64, fragments + 1)[1:-1].astype(np.uint64)
 
     def cut(batches):
@@ -147,7 +148,7 @@ def _overlaps(pairs: DataFrame, docs: DataFrame, n: int, percent: int, fragments
             yield _batch(rows, "id", "fragment", "grams")
 
     # copies of a set meet here; a set that slipped through the sketch meets no pair below
-    sets = docs.select("text").mapInArrow(cut, "id long, fragment int, grams binary")
+    sets = docs.select("text").mapInArrow(lean(cut), "id long, fragment int, grams binary")
     sets = stored(sets.groupBy("id", "fragment").agg(F.first("grams").alias("grams")))
 
     def count(batches):
@@ -158,7 +159,7 @@ def _overlaps(pairs: DataFrame, docs: DataFrame, n: int, percent: int, fragments
     # pairs have no bound, so they are never broadcast: the join is the same at every size
     met = pairs.join(sets.select(F.col("id").alias("a"), "fragment", F.col("grams").alias("x")).hint("merge"), "a")
     met = met.join(sets.select(F.col("id").alias("b"), "fragment", F.col("grams").alias("y")).hint("merge"), ["b", "fragment"])
-    partial = met.select("a", "b", "n_a", "n_b", "x", "y").mapInArrow(count, "a long, b long, n_a int, n_b int, partial long")
+    partial = met.select("a", "b", "n_a", "n_b", "x", "y").mapInArrow(lean(count), "a long, b long, n_a int, n_b int, partial long")
     total = partial.groupBy("a", "b", "n_a", "n_b").agg(F.sum("partial").alias("common"))
     return total.filter(F.col("common") * 100 >= (F.col("n_a") + F.col("n_b") - F.col("common")) * percent).select("a", "b")
 
@@ -195,7 +196,7 @@ def join(docs: DataFrame, n: int = 5, percent: int = 80, fragments: int = FRAGME
             k = len(own)
             yield pa.RecordBatch.from_arrays([pa.nulls(k, ids.type), pa.nulls(k, pa.int32()), pa.nulls(k, pa.int64()), own["part"], own["counts"]], names)
 
-    seen = stored(docs.mapInArrow(first, f"doc_id {kind}, n int, id long, part int, counts binary"))
+    seen = stored(docs.mapInArrow(lean(first), f"doc_id {kind}, n int, id long, part int, counts binary"))
     common = spark.sparkContext.broadcast(merged_sketch(seen.filter("part is not null").select("part", "counts"), BITS))
     seen = seen.filter("part is null").select("doc_id", "n", "id")
 
@@ -227,7 +228,7 @@ def join(docs: DataFrame, n: int = 5, percent: int = 80, fragments: int = FRAGME
         listed = pa.Table.from_batches([_batch(lists, "block", "part", "grams", "twice")])
         return pa.concat_tables([own, listed], promote_options="default").select(["block", "id", "n", "grams", "part", "twice"])
 
-    kept = stored(docs.select("text").mapInArrow(prefixes, "block int, id long, n int, grams binary").groupBy("block").applyInArrow(gather, "block int, id long, n int, grams binary, part int, twice binary"))
+    kept = stored(docs.select("text").mapInArrow(lean(prefixes), "block int, id long, n int, grams binary").groupBy("block").applyInArrow(gather, "block int, id long, n int, grams binary, part int, twice binary"))
     sets = kept.filter("id is not null").select("block", "id", "n", "grams")
 
     def answer(table: pa.Table) -> pa.Table:
@@ -262,7 +263,7 @@ def join(docs: DataFrame, n: int = 5, percent: int = 80, fragments: int = FRAGME
             tags = [np.sort((mix(np.frombuffer(x, np.uint64)) & np.uint64(0xFFFF)).astype(np.uint16)).tobytes() for x in batch["grams"].to_pylist()]
             yield pa.RecordBatch.from_arrays([batch["id"], pa.array(tags, pa.binary())], ["id", "tags"])
 
-    tags = sets.select("id", "grams").mapInArrow(tag, "id long, tags binary")
+    tags = sets.select("id", "grams").mapInArrow(lean(tag), "id long, tags binary")
 
     def may_link(batches):
         for batch in batches:
@@ -277,7 +278,7 @@ def join(docs: DataFrame, n: int = 5, percent: int = 80, fragments: int = FRAGME
     def likely(pairs: DataFrame) -> DataFrame:
         """The pairs that the tags of their first n-grams don't rule out."""
         met = pairs.join(tags.select(F.col("id").alias("a"), F.col("tags").alias("x")).hint("merge"), "a").join(tags.select(F.col("id").alias("b"), F.col("tags").alias("y")).hint("merge"), "b")
-        return stored(met.select("a", "b", "n_a", "n_b", "x", "y").mapInArrow(may_link, "a long, b long, n_a int, n_b int"))
+        return stored(met.select("a", "b", "n_a", "n_b", "x", "y").mapInArrow(lean(may_link), "a long, b long, n_a int, n_b int"))
 
     def fits(a: str, b: str) -> str:
         need = f"ceil({percent} * ({a}.n + {b}.n) / {100 + percent}.0D - 1e-9)"

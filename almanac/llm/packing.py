@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import documents, partitions, stored
+from .common import documents, lean, partitions, stored
 
 RULES = ("norm", "dot")
 
@@ -142,7 +142,7 @@ def pieces(docs: DataFrame, vocabulary: str, tokens: int, end_id: int = 0, ranks
                 lo = hi
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, piece int, start long, length long, ids binary")
+    return docs.select("doc_id", "text").mapInArrow(lean(run), f"doc_id {kind}, piece int, start long, length long, ids binary")
 
 
 def pack(rows: DataFrame, tokens: int, documents_: int | None = None, cost: int | None = None, rule: str = "norm", weights: tuple[float, float, float] = (1.0, 0.05, 0.05)) -> DataFrame:
@@ -179,7 +179,7 @@ def pack(rows: DataFrame, tokens: int, documents_: int | None = None, cost: int
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in kept), pa.array(s[:, 2] + rank - s[:, 1]), pa.array(s[:, 4]), pa.array(s[:, 5])], [*(batch.schema.names[k] for k in kept), "sequence_id", "offset", "place"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in ranked.schema if f.name != "_rank")
-    return ranked.mapInArrow(find, schema + ", sequence_id long, offset long, place long")
+    return ranked.mapInArrow(lean(find), schema + ", sequence_id long, offset long, place long")
 
 
 def pack_documents(docs: DataFrame, vocabulary: str, tokens: int = 2048, ranks: str | None = None, **capacities) -> DataFrame:
@@ -195,7 +195,7 @@ def pack_documents(docs: DataFrame, vocabulary: str, tokens: int = 2048, ranks:
             yield pa.RecordBatch.from_arrays([*(batch[c] for c in ("doc_id", "piece", "start", "length")), crc], ["doc_id", "piece", "start", "length", "crc"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    rows = stored(pieces(docs, vocabulary, tokens, ranks=ranks).mapInArrow(checked, f"doc_id {kind}, piece int, start long, length long, crc long"))
+    rows = stored(pieces(docs, vocabulary, tokens, ranks=ranks).mapInArrow(lean(checked), f"doc_id {kind}, piece int, start long, length long, crc long"))
     return pack(rows, tokens, **capacities).select("doc_id", "piece", "start", "length", F.col("crc").alias("ids_crc32"), "sequence_id", "offset", "place")
 
 

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, id_remainder, lowered, mix, slices, span_hashes, stored, words
+from .common import documents, lean, id_remainder, lowered, mix, slices, span_hashes, stored, words
 
 SAMPLE = 20_000  # labelled rows to learn from, at most; those of the least hash of their id
 FEATURES = [
@@ -174,7 +174,7 @@ def features(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch["doc_id"], flat], ["doc_id", "x"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, x array<float>")
+    return docs.select("doc_id", "text").mapInArrow(lean(run), f"doc_id {kind}, x array<float>")
 
 
 def classify(docs: DataFrame, labels: DataFrame, learn, sample: int = SAMPLE, bar: float = 0.7) -> DataFrame:
@@ -204,7 +204,7 @@ def classify(docs: DataFrame, labels: DataFrame, learn, sample: int = SAMPLE, ba
             yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(got), pa.array((got >= bar).astype(np.int32))], ["doc_id", "score", "predicted"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"doc_id {kind}, score double, predicted int")
+    return rows.mapInArrow(lean(run), f"doc_id {kind}, score double, predicted int")
 
 
 def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
