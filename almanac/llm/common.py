@@ -43,9 +43,15 @@ def shared_dir(spark: SparkSession) -> str:
     return where.rstrip("/")
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """Writes a table to the shared folder and reads it again: cuts lineage and survives lost executors."""
+def stored(df: DataFrame, rows: int | None = None) -> DataFrame:
+    """Writes a table to the shared folder and reads it again: cuts lineage and survives lost executors.
+
+    ``rows`` is a bound on its rows where one is known: then no more tasks (and files) than one
+    for each 200,000 of them.
+    """
     spark = df.sparkSession
+    if rows is not None and (tasks := rows // 200_000 + 1) < partitions(spark):
+        df = df.coalesce(tasks)
     path = f"{shared_dir(spark)}/almanac-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -105,8 +105,9 @@ def components(links: DataFrame) -> DataFrame:
     Each round a node takes the smallest label among its neighbours' and then that label's own
     label (a shortcut), until none changes; rounds grow with the logarithm of a path's length.
     """
-    both = stored(links.select("a", "b").union(links.select("b", "a")).distinct())
-    labels = stored(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("id"), F.least("a", "m").alias("label")))
+    bound = 2 * links.count()
+    both = stored(links.select("a", "b").union(links.select("b", "a")).distinct(), bound)
+    labels = stored(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("id"), F.least("a", "m").alias("label")), bound)
     while True:
         near = both.join(labels.withColumnRenamed("id", "b"), "b").groupBy(F.col("a").alias("id")).agg(F.min("label").alias("near"))
         low = labels.join(near, "id").select("id", F.col("label").alias("old"), F.least("label", "near").alias("label"))
@@ -114,7 +115,7 @@ def components(links: DataFrame) -> DataFrame:
         roots = low.filter("label < old").groupBy(F.col("old").alias("id")).agg(F.min("label").alias("hook"))
         low = low.join(roots, "id", "left").select("id", "old", F.least("label", F.coalesce("hook", "label")).alias("label"))
         up = low.select(F.col("id").alias("label"), F.col("label").alias("up"))
-        step = stored(low.join(up, "label", "left").select("id", "old", F.coalesce("up", "label").alias("label")))
+        step = stored(low.join(up, "label", "left").select("id", "old", F.coalesce("up", "label").alias("label")), bound)
         labels = step.select("id", "label")
         if step.filter("label < old").isEmpty():
             return labels
@@ -257,6 +258,7 @@ def join(docs: DataFrame, n: int = 5, percent: int = 80, fragments: int = FRAGME
         return pa.table({"gram": flat[at].view(np.int64), "id": own["id"].to_numpy()[whose], "n": own["n"].to_numpy()[whose], "pos": pos[at]})
 
     postings = stored(sets.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(post, "gram long, id long, n int, pos int"))
+    bound = postings.count()  # each posting gives at most a pair in round 1
 
     def tag(batches):
         for batch in batches:
@@ -278,7 +280,7 @@ def join(docs: DataFrame, n: int = 5, percent: int = 80, fragments: int = FRAGME
     def likely(pairs: DataFrame) -> DataFrame:
         """The pairs that the tags of their first n-grams don't rule out."""
         met = pairs.join(tags.select(F.col("id").alias("a"), F.col("tags").alias("x")).hint("merge"), "a").join(tags.select(F.col("id").alias("b"), F.col("tags").alias("y")).hint("merge"), "b")
-        return stored(met.select("a", "b", "n_a", "n_b", "x", "y").mapInArrow(lean(may_link), "a long, b long, n_a int, n_b int"))
+        return stored(met.select("a", "b", "n_a", "n_b", "x", "y").mapInArrow(lean(may_link), "a long, b long, n_a int, n_b int"), bound)
 
     def fits(a: str, b: str) -> str:
         need = f"ceil({percent} * ({a}.n + {b}.n) / {100 + percent}.0D - 1e-9)"
@@ -287,8 +289,8 @@ def join(docs: DataFrame, n: int = 5, percent: int = 80, fragments: int = FRAGME
     # round 1: each posting meets the least edited set of its n-gram
     lead = postings.groupBy("gram").agg(F.min(F.struct("pos", "n", "id")).alias("y"))
     star = postings.alias("x").join(lead, "gram").filter("x.id <> y.id and " + fits("x", "y"))
-    star = stored(star.select(F.col("y.id").alias("a"), F.col("x.id").alias("b"), F.col("y.n").alias("n_a"), F.col("x.n").alias("n_b")).distinct())
-    links = stored(_overlaps(likely(star), docs, n, percent, fragments))
+    star = stored(star.select(F.col("y.id").alias("a"), F.col("x.id").alias("b"), F.col("y.n").alias("n_a"), F.col("x.n").alias("n_b")).distinct(), bound)
+    links = stored(_overlaps(likely(star), docs, n, percent, fragments), bound)
     found = components(links)
 
     # round 2: n-grams whose sets are in different components
@@ -300,8 +302,9 @@ def join(docs: DataFrame, n: int = 5, percent: int = 80, fragments: int = FRAGME
     rest = rest.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b"), F.when(F.expr("x.id < y.id"), F.col("x.n")).otherwise(F.col("y.n")).alias("n_a"), F.when(F.expr("x.id < y.id"), F.col("y.n")).otherwise(F.col("x.n")).alias("n_b")).distinct()
     tried = star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     rest = stored(rest.join(tried, ["a", "b"], "left_anti"))
-    if not rest.isEmpty():
-        found = components(links.union(_overlaps(likely(rest), docs, n, percent, fragments)))
+    bound = rest.count()
+    if bound:
+        found = components(links.union(stored(_overlaps(likely(rest), docs, n, percent, fragments), bound)))
 
     # the smallest doc_id of each component, by way of its classes
     classes = seen.filter("id is not null").groupBy("id").agg(F.min("doc_id").alias("least")).join(found, "id", "left")
