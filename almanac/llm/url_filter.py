@@ -61,15 +61,21 @@ def _tokens(url: Column) -> Column:
     return F.array_distinct(F.filter(F.split(lower(url), TOKEN_RX, -1), lambda t: t != ""))
 
 
+def _table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A small table of literals."""
+    names = [x.split() for x in schema.split(", ")]
+    literals = [F.struct(*[F.lit(v).cast(kind).alias(c) for v, (c, kind) in zip(row, names, strict=True)]) for row in rows]
+    return spark.range(1).select(F.inline(F.array(*literals).cast(f"array<struct<{', '.join(f'{c}:{kind}' for c, kind in names)}>>")))
+
+
 def place_verdicts(urls: DataFrame, places: list[tuple[str, str]]) -> DataFrame:
     """url, rule and verdict of the longest place rule that fits each url; urls without one are left out.
 
     A rule's host fits itself and its subdomains, its path what the URL's path starts with. Rule
     lengths are few, so each URL looks up only the path prefixes of lengths that rules have.
     """
-    spark = urls.sparkSession
     parts = [(verdict, rule, *rule.partition("/")[::2]) for verdict, rule in places]
-    table = spark.createDataFrame([(v, r, h, "/" + p, len(r)) for v, r, h, p in parts], "verdict string, rule string, _host string, _path string, _length int")
+    table = _table(urls.sparkSession, [(v, r, h, "/" + p, len(r)) for v, r, h, p in parts], "verdict string, rule string, _host string, _path string, _length int")
     lengths = sorted({len(p) + 1 for *_, p in parts})
     labels = F.split("host", "\\.", -1)
     suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
@@ -81,9 +87,7 @@ def place_verdicts(urls: DataFrame, places: list[tuple[str, str]]) -> DataFrame:
 
 def index(urls: DataFrame, patterns: list[Pattern]) -> DataFrame:
     """The pattern rules under their rarest token (token, regex, verdict); a rule without tokens has none (null)."""
-    spark = urls.sparkSession
-    schema = "rule int, regex string, verdict string, token string"
-    rules = spark.createDataFrame([(k, p.regex, p.verdict, t) for k, p in enumerate(patterns) for t in p.tokens or (None,)], schema)
+    rules = _table(urls.sparkSession, [(k, p.regex, p.verdict, t) for k, p in enumerate(patterns) for t in p.tokens or (None,)], "rule int, regex string, verdict string, token string")
     known = rules.select("token").distinct()
     seen = urls.select(F.explode(_tokens(F.col("url"))).alias("token")).join(known, "token", "left_semi").groupBy("token").agg(F.count("*").alias("n"))
     rare = rules.join(seen, "token", "left").groupBy("rule", "regex", "verdict").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "token")).alias("least"))
