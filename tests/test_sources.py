@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from almanac.operators.store import Store
 from almanac.render.axis import axis_domain
-from almanac.sources import csv_strict, ecb_xml, fundamentals_csv, profiles, sheets
+from almanac.sources import csv_strict, ecb_xml, fundamentals_csv, master, profiles, sheets
 from almanac.streaming import incremental
 
 D = dt.date.fromisoformat
@@ -201,3 +201,33 @@ def test_axis():
     low, high, labels = axis_domain([100.0, 200.0])
     assert (low, high) == (92, 208) and len(set(labels)) == 5
     assert axis_domain([0.0])[:2] == (-1, 1)
+
+
+def test_master_and_rates(spark, tmp_path):
+    s = Store(spark, str(tmp_path / "store")).create()
+    path = tmp_path / "m.csv"
+    path.write_text("date,instrument_id,value\n2024-01-01,w,1\n2024-01-02,w,\n2024-01-01,c,3\n2024-01-01,other,x\n")
+    meta = json.dumps({k: {f: v for f, v in META.items() if f != "series_id"} for k in ("w", "c")})
+    now = dt.datetime(2024, 1, 5)
+    with pytest.raises(ValueError, match="missing_value"):
+        master.import_master(s, str(path), meta, now)
+    got = {r["series_id"]: r["inserted"] for r in master.import_master(s, str(path), meta, now, skip_missing=True).collect()}
+    assert got == {"w": 1, "c": 1}
+    with pytest.raises(ValueError, match="no rows"):
+        master.import_master(s, str(path), json.dumps([META | {"series_id": "none"}]), now, skip_missing=True)
+    with pytest.raises(ValueError, match="reserved"):
+        master.read_metadata(json.dumps([META | {"series_id": "EUR_PLN"}]))
+    doc = XML.format('<Cube time="2024-01-02"><Cube currency="PLN" rate="4.4"/><Cube currency="USD" rate="1.1"/></Cube>').encode()
+    with pytest.raises(ValueError, match="future"):
+        master.update_rates(s, doc, now, D("2024-01-01"))
+    assert master.update_rates(s, doc, dt.datetime(2024, 1, 6), D("2024-01-02")).count() == 3
+    assert [r["value"] for r in s.read("USD_PLN").collect()] == [pytest.approx(4)]
+
+
+def test_report(spark):
+    from almanac.operators import monthly
+    from almanac.render.report import seasonal_report
+
+    df = _rows(spark, ("2023-01-01", 10), ("2024-01-02", 12))
+    page = seasonal_report(monthly.seasonal_profile(df, D("2024-01-05"), 5), monthly.seasonal_current(df, D("2024-01-05"), 5), "A <title>", "EUR/t")
+    assert "A &lt;title&gt;" in page and page.count("<tr>") == 13
