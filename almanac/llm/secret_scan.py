@@ -70,10 +70,11 @@ def _strong(text: Column, kind: str) -> Column:
 def scan(docs: DataFrame, reach: int = REACH) -> DataFrame:
     """Spans of secrets in each text of docs (doc_id, text, any other columns).
 
-    Adds base (the strong spans by start, then kind) and linked (weak spans, and strong ones once
-    more are not repeated), arrays of (start, end, kind). Null and empty texts have none. Rows
-    alike in doc_id and text have the same spans. Names _tie, _doc and _key, base and linked are
-    not taken in docs.
+    Adds base (the strong spans by start, then kind) and linked (the weak spans that links
+    report), arrays of (start, end, kind); places in code points, end exclusive. Null and empty
+    texts have none. Rows alike in doc_id and text have the same spans. An empty table gives an
+    empty result. Columns named _tie, _doc, _key, base or linked are not taken in docs; others may
+    have any name.
     """
     spans = {k: _strong(F.col("text"), k) for k in STRONG}
     bare = lambda a: F.transform(a, lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end"), m["kind"].alias("kind")))
