@@ -136,7 +136,8 @@ def judge(docs: DataFrame) -> DataFrame:
     """
     named = docs.select("doc_id", "text", *[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("lang", "source")])
     stats = stored(base_statistics(named).drop("text"))
-    limits = thresholds(sketches(stats))
+    # written first, so that the engine knows its size: few groups are broadcast, and a hot one is not dealt to one task
+    limits = stored(thresholds(sketches(stats)))
     rows = stats.join(limits, ["lang", "source"], "left")
     slack = SLACK / F.sqrt(F.greatest(F.col("n_words"), F.lit(1)))
     bad = F.lit(False)
