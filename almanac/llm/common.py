@@ -43,9 +43,24 @@ def shared_dir(spark: SparkSession) -> str:
     return where.rstrip("/")
 
 
+_WRITTEN: list[str] = []
+
+
+def clean(spark: SparkSession) -> int:
+    """Deletes the tables that stored() has written in this process, once no result needs them any more; returns how many."""
+    path_of = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    n = len(_WRITTEN)
+    while _WRITTEN:
+        path = path_of(_WRITTEN.pop())
+        path.getFileSystem(conf).delete(path, True)
+    return n
+
+
 def stored(df: DataFrame, rows: int | None = None) -> DataFrame:
     """Writes a table to the shared folder and reads it again: cuts lineage and survives lost executors.
 
+    The table stays until clean(), as results that are not yet computed may need it.
     ``rows`` is a bound on its rows where one is known: then no more tasks (and files) than one
     for each 200,000 of them.
     """
@@ -53,6 +68,7 @@ def stored(df: DataFrame, rows: int | None = None) -> DataFrame:
     if rows is not None and (tasks := rows // 200_000 + 1) < partitions(spark):
         df = df.coalesce(tasks)
     path = f"{shared_dir(spark)}/almanac-{uuid.uuid4().hex}"
+    _WRITTEN.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

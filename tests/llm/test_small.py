@@ -392,3 +392,12 @@ def test_rarest_token(spark):
 def test_hashes_depend_on_bytes_alone():
     a = common.span_hashes(np.frombuffer(b"xx the yy the", np.uint8), np.array([3, 10]), np.array([6, 13]))
     assert a[0] == a[1] and len({int(h) for h in common.span_hashes(np.frombuffer(b"abcabdacbbca", np.uint8), np.arange(0, 12, 3), np.arange(3, 13, 3))}) == 4
+
+
+def test_stored_tables_are_cleaned(spark, tmp_path):
+    import os
+
+    df = common.stored(spark.range(10), rows=10)
+    path = df.inputFiles()[0].removeprefix("file://").rpartition("/")[0]
+    assert df.count() == 10 and len([f for f in os.listdir(path) if f.endswith(".parquet")]) == 1
+    assert common.clean(spark) >= 1 and not os.path.exists(path) and common.clean(spark) == 0
