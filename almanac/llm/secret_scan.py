@@ -5,7 +5,8 @@ forty characters, an endpoint) mean nothing alone; they are reported only where
 parts co-occur: an identifier and a secret whose scopes meet, and with such a pair the endpoints
 in their scope. A part's scope is its span and ``reach`` characters on either side. Scopes meet by
 an interval join: parts of identifiers are dealt to every bin that their scope touches, secrets
-and endpoints to the bin of their start, and bins join by equality within a text.
+and endpoints to every bin that they touch themselves, bins join by equality within a text, and a
+pair counts in the first bin that its parts share.
 
 A row's matches and their places are found within the row, so texts are not shuffled; only the
 parts of texts that hold weak candidates of both kinds are.
@@ -91,13 +92,15 @@ def scan(docs: DataFrame, reach: int = REACH) -> DataFrame:
     part = F.create_map(*[F.lit(x) for kv in PARTS.items() for x in kv])
     parts = some.select("doc_id", "_tie", F.explode(F.concat("base", weak)).alias("s")).select("doc_id", "_tie", "s.*").distinct()
     parts = parts.withColumn("part", F.element_at(part, F.col("kind")))
-    bins = lambda a, b: F.explode(F.sequence(F.floor(F.greatest(a, F.lit(0)) / reach), F.floor(b / reach)))
+    first = lambda at: F.floor(F.greatest(at, F.lit(0)) / reach)
+    bins = lambda a, b: F.explode(F.sequence(first(a), F.floor(b / reach)))
     scoped = lambda of: parts.filter(F.col("part") == of).select("doc_id", "_tie", F.struct("start", "end", "kind").alias(of), bins(F.col("start") - reach, F.col("end") + reach).alias("bin"))
-    placed = lambda of: parts.filter(F.col("part") == of).select(F.col("doc_id").alias("_doc"), F.col("_tie").alias("_key"), F.struct("start", "end", "kind").alias(of), F.col("start").alias("at"), F.floor(F.col("start") / reach).alias("_bin"))
+    placed = lambda of: parts.filter(F.col("part") == of).select(F.col("doc_id").alias("_doc"), F.col("_tie").alias("_key"), F.struct("start", "end", "kind").alias(of), bins(F.col("start"), F.col("end")).alias("_bin"))
     same = F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("_tie") == F.col("_key")) & (F.col("bin") == F.col("_bin"))
 
     def near(a: str, b: str) -> Column:
-        return (F.col(f"{b}.start") < F.col(f"{a}.end") + reach) & (F.col(f"{b}.end") > F.col(f"{a}.start") - reach)
+        once = F.col("bin") == F.greatest(first(F.col(f"{a}.start") - reach), first(F.col(f"{b}.start")))
+        return once & (F.col(f"{b}.start") < F.col(f"{a}.end") + reach) & (F.col(f"{b}.end") > F.col(f"{a}.start") - reach)
 
     apart = (F.col("secret.start") >= F.col("identifier.end")) | (F.col("secret.end") <= F.col("identifier.start"))
     pairs = scoped("identifier").join(placed("secret"), same & near("identifier", "secret") & apart).select("doc_id", "_tie", "identifier", "secret")

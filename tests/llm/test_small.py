@@ -251,6 +251,29 @@ def test_linked_parts(spark, docs):
     assert [r["spans"] for r in frame(secret_scan.digest(secret_scan.scan(twice)))] == [got[0]] * 3
 
 
+def test_long_secrets_before_identifiers(docs):
+    """Every alignment of a long secret or endpoint that ends within reach of an identifier, against the rule itself."""
+    texts, expected = [], []
+    for size in (64, 128, 256, 450, 900):
+        for gap in (1, 60, 150, 199, 200, 230):
+            for before in (0, 37, 120, 190):
+                secret = "pass=" + "Zq-" * (size // 3)
+                text = "- " * (before // 2) + secret + " " * gap + "user: bob42"
+                at = 2 * (before // 2)
+                start = at + len(secret) + gap
+                texts.append(text)
+                expected.append(f"pass:{at}:{at + len(secret)},user:{start}:{start + 11}" if gap < 200 else "")
+    k = len(texts)
+    url = "https://example.com/" + "zq/" * 150
+    for before in range(0, 200, 13):
+        text = "-" * before + " " + url + " " * 90 + "user: bob42 pass=hunter22x"
+        start = before + 1 + len(url) + 90
+        texts.append(text)
+        expected.append(f"endpoint:{before + 1}:{before + 1 + len(url)},user:{start}:{start + 11},pass:{start + 12}:{start + 26}")
+    got = {r["doc_id"]: r["spans"] for r in frame(secret_scan.digest(secret_scan.scan(docs(texts))))}
+    assert [got[i] for i in range(len(texts))] == expected and k < len(texts)
+
+
 # ---------------------------------------------------------------- op 7
 
 
