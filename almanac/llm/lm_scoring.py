@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from .common import _IS_SPACE, SPACES, documents, id_remainder, lean, lowered, pack, partitions, slices, span_hashes, stored, unpack, words
 
-LONGEST = 48  # bytes of a chunk that the vectorised recursion takes; longer ones run alone
+LONGEST = 48  # bytes of a chunk that the vectorised recursions take; longer ones run alone
 
 
 def read_pieces(path: str) -> list[bytes]:
@@ -108,14 +108,28 @@ class Lattice:
             alpha[:, k] = self._sum(alpha[:, s[into]] + logs[:, into])
         return alpha
 
-    def _alone(self, chunk: bytes) -> float:
-        """The forward recursion over one long chunk."""
+    def _alphas(self, chunk: bytes) -> list[float]:
+        """The forward recursion over one long chunk, for each place."""
         alpha = [0.0] + [-math.inf] * len(chunk)
         for e in range(1, len(chunk) + 1):
             terms = [alpha[s] + self.scores[k] for s in range(max(0, e - self.longest), e) if (k := self.index.get(chunk[s:e])) is not None]
             top = max(terms)
             alpha[e] = top + math.log(sum(math.exp(t - top) for t in terms))
-        return alpha[-1]
+        return alpha
+
+    def _alone(self, chunk: bytes) -> float:
+        return self._alphas(chunk)[-1]
+
+    def _count_alone(self, chunk: bytes, weight: float, total: np.ndarray) -> None:
+        """Adds the expected counts of one long chunk to total; edges are found again from their starts, so only a number for each place is held."""
+        alpha = self._alphas(chunk)
+        beta = [-math.inf] * len(chunk) + [0.0]
+        for s in range(len(chunk) - 1, -1, -1):
+            out = [(k, beta[e] + self.scores[k]) for e in range(s + 1, min(len(chunk), s + self.longest) + 1) if (k := self.index.get(chunk[s:e])) is not None]
+            top = max(t for _, t in out)
+            beta[s] = top + math.log(sum(math.exp(t - top) for _, t in out))
+            for k, t in out:
+                total[k] += weight * math.exp(alpha[s] + t - alpha[-1])
 
     def log_probability(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """Natural log of the summed probability of each chunk's segmentations."""
@@ -145,7 +159,9 @@ class Lattice:
             share = np.exp(alpha[:, s] + logs + beta[:, e] - alpha[:, -1:]) * weights[some][:, None]
             hit = ids >= 0
             total += np.bincount(ids[hit], share[hit], len(total))
-        return total  # a chunk of over LONGEST bytes teaches nothing; it is scored all the same
+        for k in np.flatnonzero(ends - starts > LONGEST):
+            self._count_alone(data[starts[k] : ends[k]].tobytes(), weights[k], total)
+        return total
 
 
 def _chunks(data: np.ndarray, offsets: np.ndarray):

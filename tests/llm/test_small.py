@@ -98,6 +98,26 @@ def test_lattice_equals_all_segmentations():
     assert sum(c * len(p) for c, p in zip(counts, pieces, strict=True)) == pytest.approx(ends[3])
 
 
+def test_long_chunks_teach(monkeypatch):
+    pieces = lm_scoring.read_pieces(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+    lattice = lm_scoring.Lattice(pieces, -np.log(np.arange(len(pieces)) + 50.0))
+    texts = [t.encode() for t in ("ข้อความภาษาไทยไม่มีช่องว่าง", "https://example.com/" + "a1b2" * 40, " " * 70 + "x")]
+    data, ends = np.frombuffer(b"".join(texts), np.uint8), np.cumsum([len(t) for t in texts])
+    args = data, np.concatenate([[0], ends[:-1]]), ends, np.array([3.0, 1.0, 2.0])
+    assert min(map(len, texts)) > lm_scoring.LONGEST
+    counts = lattice.expected_counts(*args)
+    assert sum(c * len(p) for c, p in zip(counts, pieces, strict=True)) == pytest.approx(sum(n * len(t) for n, t in zip((3, 1, 2), texts, strict=True)))
+    monkeypatch.setattr(lm_scoring, "LONGEST", len(data))  # now by the recursion of shorter chunks
+    assert counts == pytest.approx(lattice.expected_counts(*args))
+
+
+def test_long_training_text_raises_its_score(docs):
+    text = "ไม่มีช่องว่าง" * 4
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    score = lambda teach: frame(lm_scoring.score(docs([text, "short words here"]), F.col("doc_id").isin(teach), path))[0]["score"]
+    assert score([0, 1]) > score([1]) + 10
+
+
 # ---------------------------------------------------------------- op 2
 
 
