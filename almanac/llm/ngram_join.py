@@ -315,14 +315,18 @@ def join(docs: DataFrame, n: int = 5, percent: int = 80, fragments: int = FRAGME
 
 
 def keep_one(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of docs (doc_id, text, any other columns) that stand for their component: those of the smallest doc_id, once.
+    """The rows of docs (doc_id, text, any other columns) that stand for their component: of each, one row of the smallest doc_id.
 
-    Texts without words are linked with nothing and all stay.
+    A null doc_id comes after all others; of different texts under one doc_id the least hash
+    stands first. Texts that nothing links all stay, whatever their doc_id, and so do texts
+    without words, which are linked with nothing.
     """
     worded = F.coalesce(F.col("text").rlike("[^\\x20\\x09-\\x0D]"), F.lit(False))
-    first = join(docs, n, percent).filter("set_id is not null and doc_id <=> component_id").select(F.col("doc_id").alias("_first")).distinct()
-    kept = docs.filter(worded).join(first, F.col("doc_id").eqNullSafe(F.col("_first")), "left_semi").dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.filter(~worded))
+    # a doc_id may be null or have several texts: (doc_id, hash of the text) tells them apart and orders them
+    key = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("tie"))
+    first = join(docs.select(key.alias("doc_id"), "text"), n, percent).filter("set_id is not null and doc_id = component_id").select(F.col("doc_id.id").alias("_first"), F.col("doc_id.tie").alias("_tie")).distinct()
+    kept = docs.filter(worded).withColumn("_own", F.xxhash64("text")).join(first, F.col("doc_id").eqNullSafe(F.col("_first")) & (F.col("_own") == F.col("_tie")), "left_semi")
+    return kept.dropDuplicates(["doc_id", "_own"]).drop("_own").unionByName(docs.filter(~worded))
 
 
 def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:

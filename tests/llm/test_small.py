@@ -175,6 +175,17 @@ def test_join_odd_rows(spark, docs):
     assert sorted((r["doc_id"] or 0, r["text"] or "") for r in kept) == [(0, ""), (1, "a b c d e f")]
 
 
+def test_keep_one_keeps_unlinked_texts(spark):
+    a, b, c = "a b c d e f", "g h i j k l m", "n o p q r s"
+    rows = [(None, a, 1), (None, b, 2), (None, b, 3), (None, c, 4), (7, c, 5), (8, a + " x y z", 6), (8, b + " u v w t", 7), (8, c, 8), (None, "", 9), (None, None, 10)]
+    kept = frame(ngram_join.keep_one(spark.createDataFrame(rows, "doc_id long, text string, n long")))
+    # linked with 7: the null-id and the second copy of c; one of the copies of b stays, and both different texts of 8
+    assert sorted(r["n"] for r in kept if r["n"] not in (2, 3)) == [1, 5, 6, 7, 9, 10] and sum(r["n"] in (2, 3) for r in kept) == 1
+    named = [("1", "a b c d e f"), ("1", "a b c d e f"), ("1", "g h i j k l"), (None, "g h i j k l")]
+    kept = frame(ngram_join.keep_one(spark.createDataFrame(named, "doc_id string, text string")))
+    assert sorted((r["doc_id"], r["text"]) for r in kept) == [named[0], named[2]]
+
+
 def test_components(spark):
     chain = [(k, k + 1) for k in range(1, 30)] + [(100, 101), (103, 101)]
     got = {r["id"]: r["label"] for r in frame(ngram_join.components(spark.createDataFrame(chain, "a long, b long")))}
