@@ -3,7 +3,7 @@
 Strong patterns are reported wherever they match. Weak candidates (an account's name, a token of
 forty characters, an endpoint) mean nothing alone; they are reported only where complementary
 parts co-occur: an identifier and a secret whose scopes meet, and with such a pair the endpoints
-in their scope. A part's scope is its span and ``reach`` characters on either side. Scopes meet by
+in the scope of either part. A part's scope is its span and ``reach`` characters on either side. Scopes meet by
 an interval join: parts of identifiers are dealt to every bin that their scope touches, secrets
 and endpoints to every bin that they touch themselves, bins join by equality within a text, and a
 pair counts in the first bin that its parts share.
@@ -104,9 +104,9 @@ def scan(docs: DataFrame, reach: int = REACH) -> DataFrame:
 
     apart = (F.col("secret.start") >= F.col("identifier.end")) | (F.col("secret.end") <= F.col("identifier.start"))
     pairs = scoped("identifier").join(placed("secret"), same & near("identifier", "secret") & apart).select("doc_id", "_tie", "identifier", "secret")
-    # endpoints in the scope of an identifier that has a secret
-    linked_ids = pairs.select("doc_id", "_tie", "identifier").distinct().select("doc_id", "_tie", "identifier", bins(F.col("identifier.start") - reach, F.col("identifier.end") + reach).alias("bin"))
-    ends = linked_ids.join(placed("endpoint"), same & near("identifier", "endpoint")).select("doc_id", "_tie", F.col("endpoint").alias("s"))
+    # endpoints in the scope of either part of a pair
+    linked = pairs.select("doc_id", "_tie", F.explode(F.array("identifier", "secret")).alias("linked")).distinct().select("doc_id", "_tie", "linked", bins(F.col("linked.start") - reach, F.col("linked.end") + reach).alias("bin"))
+    ends = linked.join(placed("endpoint"), same & near("linked", "endpoint")).select("doc_id", "_tie", F.col("endpoint").alias("s"))
     links = pairs.select("doc_id", "_tie", F.explode(F.array("identifier", "secret")).alias("s")).union(ends).filter(F.col("s.kind").isin(list(WEAK)))
     links = links.groupBy(F.col("doc_id").alias("_doc"), F.col("_tie").alias("_key")).agg(F.collect_set("s").alias("linked"))
     out = rows.join(links, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("_tie") == F.col("_key")), "left").drop("_doc", "_key", "_tie")

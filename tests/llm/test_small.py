@@ -305,6 +305,13 @@ def test_long_secrets_before_identifiers(docs):
     assert [got[i] for i in range(len(texts))] == expected and k < len(texts)
 
 
+def test_endpoints_near_the_secret_alone(docs):
+    gap = " " * 150
+    texts = [f"user: bob42{gap}pass=hunter22x{gap}jdbc:pg://host/db", f"user: bob42{gap}pass=hunter22x{gap}{gap}jdbc:pg://host/db", f"jdbc:pg://host/db{gap}pass=hunter22x{gap}user: bob42"]
+    got = {r["doc_id"]: r["spans"] for r in frame(secret_scan.digest(secret_scan.scan(docs(texts))))}
+    assert got == {0: "user:0:11,pass:161:175,endpoint:325:342", 1: "user:0:11,pass:161:175", 2: "endpoint:0:17,pass:167:181,user:331:342"}
+
+
 # ---------------------------------------------------------------- op 7
 
 
