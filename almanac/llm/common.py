@@ -34,10 +34,16 @@ _POWERS: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir, which driver and executors share; a local one only where it is unset."""
+    """The folder of spark.checkpoint.dir, which driver and executors share.
+
+    Where it is unset, a session in one process gets a temporary folder; on a cluster that would
+    be another folder on every machine, so there it is an error.
+    """
     sc = spark.sparkContext
     where = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not where:
+        if sc.master.split("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         where = "file://" + tempfile.mkdtemp(prefix="almanac-")
         sc.setCheckpointDir(where)
     return where.rstrip("/")
@@ -46,15 +52,21 @@ def shared_dir(spark: SparkSession) -> str:
 _WRITTEN: list[str] = []
 
 
-def clean(spark: SparkSession) -> int:
-    """Deletes the tables that stored() has written in this process, once no result needs them any more; returns how many."""
+def written() -> int:
+    """How many tables stored() has written in this process that clean() has not deleted: a mark to clean from."""
+    return len(_WRITTEN)
+
+
+def clean(spark: SparkSession, since: int = 0, but_last: bool = False) -> int:
+    """Deletes the tables that stored() has written in this process (``since`` a mark of written(); ``but_last``: the last one stays), once no result needs them any more; returns how many."""
     path_of = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
     conf = spark.sparkContext._jsc.hadoopConfiguration()
-    n = len(_WRITTEN)
-    while _WRITTEN:
-        path = path_of(_WRITTEN.pop())
+    gone = _WRITTEN[since : len(_WRITTEN) - but_last]
+    del _WRITTEN[since : len(_WRITTEN) - but_last]
+    for name in gone:
+        path = path_of(name)
         path.getFileSystem(conf).delete(path, True)
-    return n
+    return len(gone)
 
 
 def stored(df: DataFrame, rows: int | None = None) -> DataFrame:
@@ -77,6 +89,21 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+BLOCK = 32 << 20  # bytes of what one task holds at once
+
+
+def blocks_of(spark: SparkSession, size: int | None) -> int:
+    """Into how many blocks data of so many bytes are cut: as many as the session's partitions, or more where a block would be larger than BLOCK."""
+    return max(partitions(spark), (size or 0) // BLOCK + 1)
+
+
+def reserve(docs: DataFrame, *names: str) -> None:
+    """Raises ValueError if docs has a column by a name that an operator needs for itself."""
+    taken = {c.lower() for c in docs.columns} & {n.lower() for n in names}
+    if taken:
+        raise ValueError(f"columns can't be named {', '.join(sorted(taken))} here; rename them first")
+
+
 def small_batches(spark: SparkSession, rows: int = 2000) -> None:
     """Lowers how many rows the session sends to Python at once, where it still is the default: texts are long, and each task holds a batch on both sides."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
