@@ -1,8 +1,10 @@
 """Op 5, line dedup by overlapping windows of three lines. DataFrame functions only.
 
-Every three consecutive lines of a text make a window, told apart by a 128-bit hash. A window
-that stands elsewhere before (in order of doc_id and line) is a repeat; the lines that repeats
-cover, merged over all windows of a text, are removed. First occurrences stay.
+Every three consecutive lines of a text make a window, told apart by two 64-bit hashes, each of
+its own hashes of the lines. A window that stands elsewhere before (in order of doc_id and line)
+is a repeat; the lines that repeats cover, merged over all windows of a text, are removed. A
+window that begins inside the first one like it is a repeat too, so of a run of equal lines only
+the first line stays; else the lines of a first occurrence stay.
 
 Windows are counted by hash with partial sums, and only the hashes that occur twice come back to
 their windows, by a join that the engine may split where a window is very frequent. What a text
@@ -14,18 +16,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents
+from .common import documents, reserve
 
 LINES = 3
+RESERVED = ("_doc", "_key", "_lost", "_tie", "_starts", "_ends", "_lines", "_kept")
 
 
 def windows(docs: DataFrame, lines: int = LINES) -> DataFrame:
     """The windows of each text of docs (doc_id, text): doc_id, tie, at (first line from 0), h1, h2."""
     rows = docs.filter(F.instr("text", "\n") > 0).select("doc_id", F.xxhash64("text").alias("tie"), F.split("text", "\n", -1).alias("lines"))
-    rows = rows.filter(F.size("lines") >= lines).select("doc_id", "tie", F.transform("lines", lambda x: F.xxhash64(x, F.length(x))).alias("h"))
+    both = lambda x: F.struct(F.xxhash64(x, F.length(x)).alias("a"), F.xxhash64(F.lit(7), x).alias("b"))
+    rows = rows.filter(F.size("lines") >= lines).select("doc_id", "tie", F.transform("lines", both).alias("h"))
     rows = rows.select("doc_id", "tie", "h", F.posexplode(F.slice("h", 1, F.size("h") - (lines - 1))).alias("at", "h0"))
     own = F.slice("h", F.col("at") + 1, lines)
-    return rows.select("doc_id", "tie", "at", F.xxhash64(own).alias("h1"), F.xxhash64(F.lit(7), own).alias("h2"))
+    return rows.select("doc_id", "tie", "at", F.xxhash64(own["a"]).alias("h1"), F.xxhash64(own["b"]).alias("h2"))
 
 
 def repeats(found: DataFrame) -> DataFrame:
@@ -42,8 +46,10 @@ def dedup_lines(docs: DataFrame, lines: int = LINES) -> DataFrame:
     Order is by doc_id (null last), then a hash of the text, then line; rows alike in doc_id and
     text are one occurrence and are cut alike. A text of fewer lines, empty or null, stays as it
     is, with n_removed 0; one all of whose lines go becomes empty. Empty lines are lines like
-    others. Columns named _lost, _tie or n_removed are not taken in docs; others may have any name.
+    others. An empty table gives an empty result. Raises ValueError for a column by the name of
+    n_removed or one of RESERVED; others may have any name.
     """
+    reserve(docs, "n_removed", *RESERVED)
     lost = repeats(windows(docs.select("doc_id", "text"), lines)).groupBy(F.col("doc_id").alias("_doc"), F.col("tie").alias("_key")).agg(F.sort_array(F.collect_set("at")).alias("_lost"))
     rows = docs.withColumn("_tie", F.xxhash64("text")).join(lost, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("_tie") == F.col("_key")), "left")
     # runs of covered lines: a window that starts at most `lines` after the one before goes on with its run
