@@ -2,9 +2,9 @@
 
 Place rules (host and path) are found by equality: a URL looks up each of its host's suffixes
 with each prefix of its path that ends with a slash. Pattern rules are regular expressions with
-the literal tokens that any match must hold; a rule is indexed under the one of them that the
-fewest URLs have. A URL's own tokens fetch candidate rules from the index, and only those
-candidates run their regular expression.
+the literal tokens that any match must hold, by branch where a rule has alternatives; each branch
+is indexed under the one of its tokens that the fewest URLs have. A URL's own tokens fetch
+candidate rules from the index, and only those candidates run their regular expression.
 
 URLs are judged once each, however often they occur, and verdicts are joined back to the rows.
 """
@@ -23,24 +23,24 @@ TOKEN_RX = "[^a-z0-9]+"
 
 @dataclass(frozen=True)
 class Pattern:
-    """A rule for a whole URL, A to Z in lower case: a Java regular expression and the tokens that any match holds whole."""
+    """A rule for a whole URL, A to Z in lower case: a Java regular expression and, for each of its branches, the tokens that any match by it holds whole."""
 
     verdict: str
     regex: str
-    tokens: tuple[str, ...]
+    branches: tuple[tuple[str, ...], ...]
 
 
 #: The pattern rules of the query. A URL that no rule speaks for is allowed.
 PATTERNS = [
-    Pattern("block", "://([^/?#]*[.-])?cheap-pills[.-]", ("cheap", "pills")),
-    Pattern("block", "://([^/?#]*[.-])?spam-farm[.-]", ("spam", "farm")),
-    Pattern("block", "://([^/?#]*[.-])?online-casino[.-]", ("online", "casino")),
-    Pattern("block", "://([^/?#]*[.-])?free-money[.-]", ("free", "money")),
-    Pattern("block", "://([^/?#]*[.-])?adult-videos?[.-]", ("adult",)),
-    Pattern("block", "://([^/?#]*[.-])?payday-loans?[.-]", ("payday",)),
-    Pattern("block", "[/?&]tracker[/=]", ("tracker",)),
-    Pattern("block", "/(wp-login|wp-admin)([/.?#]|$)", ("wp",)),
-    Pattern("block", "\\.(exe|scr|apk)([?#]|$)", ()),
+    Pattern("block", "://([^/?#]*[.-])?cheap-pills[.-]", (("cheap", "pills"),)),
+    Pattern("block", "://([^/?#]*[.-])?spam-farm[.-]", (("spam", "farm"),)),
+    Pattern("block", "://([^/?#]*[.-])?online-casino[.-]", (("online", "casino"),)),
+    Pattern("block", "://([^/?#]*[.-])?free-money[.-]", (("free", "money"),)),
+    Pattern("block", "://([^/?#]*[.-])?adult-videos?[.-]", (("adult", "video"), ("adult", "videos"))),
+    Pattern("block", "://([^/?#]*[.-])?payday-loans?[.-]", (("payday", "loan"), ("payday", "loans"))),
+    Pattern("block", "[/?&]tracker[/=]", (("tracker",),)),
+    Pattern("block", "/(wp-login|wp-admin)([/.?#]|$)", (("wp", "login"), ("wp", "admin"))),
+    Pattern("block", "\\.(exe|scr|apk)([?#]|$)", (("exe",), ("scr",), ("apk",))),
 ]
 
 
@@ -71,14 +71,15 @@ def _table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
 def place_verdicts(urls: DataFrame, places: list[tuple[str, str]]) -> DataFrame:
     """url, rule and verdict of the longest place rule that fits each url; urls without one are left out.
 
-    A rule's host fits itself and its subdomains, its path what the URL's path starts with. Rule
-    lengths are few, so each URL looks up only the path prefixes of lengths that rules have.
+    A rule's host fits itself and its subdomains, its path what the URL's path starts with. Rules
+    have few sizes, so each URL looks up only host suffixes of as many labels, and path prefixes of
+    as many characters, as rules have.
     """
     parts = [(verdict, rule, *rule.partition("/")[::2]) for verdict, rule in places]
     table = _table(urls.sparkSession, [(v, r, h, "/" + p, len(r)) for v, r, h, p in parts], "verdict string, rule string, _host string, _path string, _length int")
     lengths = sorted({len(p) + 1 for *_, p in parts})
-    labels = F.split("host", "\\.", -1)
-    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+    labels = sorted({h.count(".") + 1 for _, _, h, _ in parts})
+    suffixes = F.array_distinct(F.array(*[F.substring_index("host", ".", -n) for n in labels]).cast("array<string>"))
     prefixes = F.array_distinct(F.array(*[F.substring("path", 1, n) for n in lengths]))
     rows = urls.select("url", F.explode(suffixes).alias("_host"), prefixes.alias("_prefixes"))
     fits = rows.join(table, "_host").filter(F.array_contains("_prefixes", F.col("_path")))
@@ -86,24 +87,24 @@ def place_verdicts(urls: DataFrame, places: list[tuple[str, str]]) -> DataFrame:
 
 
 def index(urls: DataFrame, patterns: list[Pattern]) -> DataFrame:
-    """The pattern rules under their rarest token (token, regex, verdict); a rule without tokens has none (null)."""
-    rules = _table(urls.sparkSession, [(k, p.regex, p.verdict, t) for k, p in enumerate(patterns) for t in p.tokens or (None,)], "rule int, regex string, verdict string, token string")
+    """The pattern rules under the rarest token of each branch (rule, branch, regex, verdict, token). Raises ValueError for a rule or branch without a token, which no URL could fetch."""
+    if any(not p.branches or not all(p.branches) for p in patterns):
+        raise ValueError("a pattern rule needs a literal token in each of its branches")
+    rows = [(k, j, p.regex, p.verdict, t) for k, p in enumerate(patterns) for j, tokens in enumerate(p.branches) for t in tokens]
+    rules = _table(urls.sparkSession, rows, "rule int, branch int, regex string, verdict string, token string")
     known = rules.select("token").distinct()
     seen = urls.select(F.explode(_tokens(F.col("url"))).alias("token")).join(known, "token", "left_semi").groupBy("token").agg(F.count("*").alias("n"))
-    rare = rules.join(seen, "token", "left").groupBy("rule", "regex", "verdict").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "token")).alias("least"))
-    return rare.select("rule", "regex", "verdict", F.col("least.token").alias("token"))
+    rare = rules.join(seen, "token", "left").groupBy("rule", "branch", "regex", "verdict").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "token")).alias("least"))
+    return rare.select("rule", "branch", "regex", "verdict", F.col("least.token").alias("token"))
 
 
 def pattern_verdicts(urls: DataFrame, patterns: list[Pattern]) -> DataFrame:
     """url and verdict of the first pattern rule, in the order given, that matches each url; urls without one are left out."""
     if not patterns:
         return urls.select("url", F.lit(None).cast("string").alias("verdict")).limit(0)
-    rules = index(urls, patterns)
+    rules = index(urls, patterns).select("rule", "regex", "verdict", "token").distinct()
     tokens = urls.select("url", F.explode(_tokens(F.col("url"))).alias("token"))
-    found = tokens.join(rules.filter("token is not null"), "token").filter(F.regexp_like(lower(F.col("url")), F.col("regex"))).select("url", "rule", "verdict")
-    for k, p in enumerate(patterns):
-        if not p.tokens:  # nothing to look up: it runs on every URL
-            found = found.union(urls.filter(lower(F.col("url")).rlike(p.regex)).select("url", F.lit(k), F.lit(p.verdict)))
+    found = tokens.join(rules, "token").filter(F.regexp_like(lower(F.col("url")), F.col("regex")))
     return found.groupBy("url").agg(F.min(F.struct("rule", "verdict")).alias("first")).select("url", "first.verdict")
 
 
