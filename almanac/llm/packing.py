@@ -20,6 +20,7 @@ from heapq import heappop, heappush
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -27,6 +28,8 @@ from pyspark.sql import functions as F
 from .common import documents, lean, partitions, stored
 
 RULES = ("norm", "dot")
+#: Runs of white space that are encoded apart; ids don't depend on the least length, only the time does.
+_BLANKS = regex.compile(r"\p{White_Space}{64,}")
 
 
 def plan(lengths: np.ndarray, tokens: int, documents_: int, cost: int, rule: str = "norm", weights: tuple[float, float, float] = (1.0, 0.05, 0.05)) -> np.ndarray:
@@ -92,6 +95,23 @@ def plan(lengths: np.ndarray, tokens: int, documents_: int, cost: int, rule: str
 _CODERS: dict[tuple[str, str | None], object] = {}
 
 
+def encode_by_ranks(fast, text: str) -> list[int]:
+    """Ids of a text by a rank-file encoding whose pattern takes white space by ``\\s+(?!\\S)|\\s+`` last.
+
+    Its matcher runs out of stack on about a million characters of white space in a row. The
+    pattern makes one pre-token of a run but for its last character, which begins what follows
+    (at the text's end: of the whole run), so long runs are cut out by that rule; what lies
+    between begins and ends where the pattern does too.
+    """
+    at, ids = 0, []
+    for m in _BLANKS.finditer(text):
+        last = m.end() - (m.end() < len(text))
+        ids += fast.encode_ordinary(text[at : m.start()]) if m.start() > at else []
+        ids += fast._core_bpe.encode_single_piece(text[m.start() : last].encode())
+        at = last
+    return ids + fast.encode_ordinary(text[at:]) if at else fast.encode_ordinary(text)
+
+
 def coder(path: str, ranks: str | None):
     """Encodes a list of texts to lists of ids as the tokenizers library would.
 
@@ -112,7 +132,7 @@ def coder(path: str, ranks: str | None):
             with open(ranks, "rb") as f:
                 table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
             fast = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=table, special_tokens={})
-            _CODERS[path, ranks] = lambda texts: [library.encode(t, add_special_tokens=False).ids if any(s in t for s in special) else fast.encode_ordinary(t) for t in texts]
+            _CODERS[path, ranks] = lambda texts: [library.encode(t, add_special_tokens=False).ids if any(s in t for s in special) else encode_by_ranks(fast, t) for t in texts]
     return _CODERS[path, ranks]
 
 
