@@ -4,9 +4,14 @@ Statistics of each text are found within its row. A quantile sketch of each stat
 each language and source: counts of logarithmic buckets of one per cent relative width (as in
 DDSketch). Such sketches merge by adding counts, so groups are partial sums on every task, a hot
 source included, and a language's and the whole corpus's are merged from the groups' own, without
-a second look at the documents. They give the same thresholds however the rows are dealt. A
-group's thresholds lie six usual spreads beyond its quartiles; where a group has few documents its
-language speaks for it, else the corpus. Thresholds are joined to the statistics and applied.
+a second look at the documents. They give the same thresholds however the rows are dealt.
+
+A group's quartiles are blended with its language's, and those with the corpus's, by the number
+of documents: what is above weighs as much as BLEND documents would, so a small group leans on
+its language and grows out of it smoothly. A group's thresholds lie six spreads (between blended
+quartiles) beyond them; no fixed cutoff takes part. Most texts have no symbol and no repeat, so a
+spread counts as a least one where it is smaller. Thresholds are joined to the statistics and
+applied; a value on its threshold is kept.
 """
 
 from __future__ import annotations
@@ -17,20 +22,20 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import SPACE_RX, documents, stored
+from .common import SPACE_RX, documents, reserve, stored
 
 WINDOW = 8
-#: What is measured against its group: whether low values are bad too, the least spread that counts, and a high value that is never bad.
+#: What is measured against its group: whether low values are bad too, and the least spread that counts.
 RULES = {
-    "symbols_per_word": (False, 0.02, 0.10),
-    "chars_per_word": (True, 0.25, 6.0),
-    "repeated_words": (False, 0.02, 0.30),
-    "repeated_lines": (False, 0.05, 0.40),
-    "capitals": (False, 0.01, 0.30),
-    "top_word": (False, 0.01, 0.15),
+    "symbols_per_word": (False, 0.02),
+    "chars_per_word": (True, 0.25),
+    "repeated_words": (False, 0.04),
+    "repeated_lines": (False, 0.06),
+    "capitals": (False, 0.01),
+    "top_word": (False, 0.01),
 }
 FAR = 6.0  # spreads beyond a quartile
-LEAST = 200  # documents that a group needs to speak for itself
+BLEND = 20.0  # documents that a language weighs beside a group's own, and the corpus beside a language's
 SLACK = 0.5  # short texts' statistics vary: this over the root of n_words is allowed besides
 GAMMA = 1.02  # ratio of a bucket's bounds
 
@@ -114,15 +119,16 @@ def thresholds(counts: DataFrame) -> DataFrame:
     every = langs.groupBy("rule", "bucket").agg(F.sum("n").alias("n"))
     named = lambda df, tag: df.select(*[c for c in ("lang", "source") if c in df.columns], "rule", F.struct("q1", "q3", "docs").alias(tag))
     rows = named(quartiles(counts, ["lang", "source"]), "own").join(named(quartiles(langs, ["lang"]), "lang_"), ["lang", "rule"]).join(named(quartiles(every, []), "all_"), "rule")
-    use = F.when(F.col("own.docs") >= LEAST, F.col("own")).when(F.col("lang_.docs") >= LEAST, F.col("lang_")).otherwise(F.col("all_"))
-    rows = rows.select("lang", "source", "rule", use.alias("q"))
+    mixed = lambda own, docs, above: (own * docs + BLEND * above) / (docs + BLEND)
+    blend = lambda q: mixed(F.col(f"own.{q}"), F.col("own.docs"), mixed(F.col(f"lang_.{q}"), F.col("lang_.docs"), F.col(f"all_.{q}"))).alias(q)
+    rows = rows.select("lang", "source", "rule", blend("q1"), blend("q3"))
     out = []
-    for rule, (low, least, never) in RULES.items():
-        spread = FAR * F.greatest(F.col("q.q3") - F.col("q.q1"), F.lit(least))
+    for rule, (low, least) in RULES.items():
+        spread = FAR * F.greatest(F.col("q3") - F.col("q1"), F.lit(least))
         one = F.col("rule") == rule
-        out.append(F.max(F.when(one, F.greatest(F.col("q.q3") + spread, F.lit(never)))).alias(f"{rule}_high"))
+        out.append(F.max(F.when(one, F.col("q3") + spread)).alias(f"{rule}_high"))
         if low:
-            out.append(F.max(F.when(one, F.col("q.q1") - spread)).alias(f"{rule}_low"))
+            out.append(F.max(F.when(one, F.col("q1") - spread)).alias(f"{rule}_low"))
     return rows.groupBy("lang", "source").agg(*out)
 
 
@@ -132,7 +138,8 @@ def judge(docs: DataFrame) -> DataFrame:
     A null text counts as empty: without words, it fails. Null languages and sources count as
     empty names. A text that the base rules keep is kept unless a statistic lies beyond its
     group's threshold. Repeated rows are counted and judged each. An empty table gives an empty
-    result; other columns are ignored.
+    result; other columns are ignored. Statistics and thresholds are found and written when this
+    is called.
     """
     named = docs.select("doc_id", "text", *[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("lang", "source")])
     stats = stored(base_statistics(named).drop("text"))
@@ -149,7 +156,8 @@ def judge(docs: DataFrame) -> DataFrame:
 
 
 def keep(docs: DataFrame) -> DataFrame:
-    """The rows of docs that judge() keeps, with all columns. Rows alike in doc_id, text, lang and source share a verdict."""
+    """The rows of docs that judge() keeps, with all columns. Rows alike in doc_id, text, lang and source share a verdict. Raises ValueError for a column by the name of _gone or _tie."""
+    reserve(docs, "_gone", "_tie")
     tie = F.xxhash64("text", "lang", "source")
     verdict = judge(docs.select(F.struct("doc_id", tie.alias("tie")).alias("doc_id"), "text", "lang", "source"))
     gone = verdict.filter(~F.col("kept")).select(F.col("doc_id.doc_id").alias("_gone"), F.col("doc_id.tie").alias("_tie")).distinct()
@@ -162,8 +170,9 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _sql() -> str:
     values = {"symbols_per_word": "n_symbols / w", "chars_per_word": "word_chars / w", "repeated_words": "n_repeat_words / w", "repeated_lines": "n_dup_lines / greatest(n_lines, 1)", "capitals": "n_capitals / greatest(word_chars, 1)", "top_word": "n_top_word / w"}
-    long = " UNION ALL ".join(f"SELECT doc_id, lang, source, n_words, '{k}' AS rule, {v} AS value, CAST({RULES[k][1]} AS DOUBLE) AS least, CAST({RULES[k][2]} AS DOUBLE) AS never, {str(RULES[k][0]).lower()} AS low FROM s" for k, v in values.items())
+    long = " UNION ALL ".join(f"SELECT doc_id, lang, source, n_words, '{k}' AS rule, {v} AS value, CAST({RULES[k][1]} AS DOUBLE) AS least, {str(RULES[k][0]).lower()} AS low FROM s" for k, v in values.items())
     quartile = lambda by: f"SELECT {by}rule, min(value) FILTER (WHERE run >= 0.25 * docs) AS q1, min(value) FILTER (WHERE run >= 0.75 * docs) AS q3, any_value(docs) AS docs FROM (SELECT {by}rule, CASE WHEN bucket <= -1000 THEN 0 ELSE 2 * pow({GAMMA}, bucket) / ({GAMMA} + 1) END AS value, sum(n) OVER (PARTITION BY {by}rule ORDER BY bucket) AS run, sum(n) OVER (PARTITION BY {by}rule) AS docs FROM (SELECT {by}rule, bucket, count(*) AS n FROM b GROUP BY ALL)) GROUP BY ALL"
+    blend = lambda q: f"(q1.{q} * q1.docs + {BLEND} * ((q2.{q} * q2.docs + {BLEND} * q3.{q}) / (q2.docs + {BLEND}))) / (q1.docs + {BLEND})"
     return f"""
 WITH t AS (
   SELECT doc_id, coalesce(lang, '') AS lang, coalesce(source, '') AS source, coalesce(text, '') AS x, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS ws, list_filter(string_split(coalesce(text, ''), chr(10)), lambda l: regexp_matches(l, '[^\\x20\\x09-\\x0D]')) AS ls FROM documents
@@ -183,11 +192,11 @@ WITH t AS (
   SELECT v.*, CASE WHEN value < 1e-6 THEN -1000 ELSE CAST(ceil(ln(value) / ln({GAMMA})) AS INTEGER) END AS bucket FROM v JOIN s ON s.doc_id = v.doc_id AND NOT s.base_failed
 ), q1 AS ({quartile("lang, source, ")}), q2 AS ({quartile("lang, ")}), q3 AS ({quartile("")}
 ), u AS (
-  SELECT q1.lang, q1.source, q1.rule, CASE WHEN q1.docs >= {LEAST} THEN q1.q1 WHEN q2.docs >= {LEAST} THEN q2.q1 ELSE q3.q1 END AS a, CASE WHEN q1.docs >= {LEAST} THEN q1.q3 WHEN q2.docs >= {LEAST} THEN q2.q3 ELSE q3.q3 END AS z
+  SELECT q1.lang, q1.source, q1.rule, {blend("q1")} AS a, {blend("q3")} AS z
   FROM q1 JOIN q2 ON q1.lang = q2.lang AND q1.rule = q2.rule JOIN q3 ON q1.rule = q3.rule
 ), bad AS (
   SELECT DISTINCT v.doc_id FROM v JOIN u ON u.lang = v.lang AND u.source = v.source AND u.rule = v.rule
-  WHERE value > greatest(z + {FAR} * greatest(z - a, least), never) + {SLACK} / sqrt(greatest(n_words, 1)) OR (low AND value < a - {FAR} * greatest(z - a, least) - {SLACK} / sqrt(greatest(n_words, 1)))
+  WHERE value > z + {FAR} * greatest(z - a, least) + {SLACK} / sqrt(greatest(n_words, 1)) OR (low AND value < a - {FAR} * greatest(z - a, least) - {SLACK} / sqrt(greatest(n_words, 1)))
 )
 SELECT s.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND b.doc_id IS NULL AS kept FROM s LEFT JOIN bad b ON b.doc_id = s.doc_id
 """
