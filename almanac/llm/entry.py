@@ -31,4 +31,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_ngram_join": ngram_join.OP3_SQL, "op8_quality_rules": quality_rules.OP8_SQL, "op5_line_dedup": line_dedup.OP5_SQL, "op10_url_filter": url_filter.OP10_SQL}
+    return {"op3_ngram_join": ngram_join.OP3_SQL, "op8_quality_rules": quality_rules.OP8_SQL, "op5_line_dedup": line_dedup.OP5_SQL, "op6_secret_scan": secret_scan.OP6_SQL, "op10_url_filter": url_filter.OP10_SQL}
