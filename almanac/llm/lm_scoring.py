@@ -15,23 +15,27 @@ have equal probability, so each is scored once:
 3. expectation maximisation and the final forward recursion run over distinct chunks;
 4. each block gets back a count and a score for each of its chunks and sums them by document.
 
-The vocabulary (at most some 50,000 scores) is all that is sent everywhere; word counts grow
-with the corpus and stay in shards.
+Blocks and shards follow the bytes of the input, so what one task holds does not grow with it; a
+task has one block or one shard. The vocabulary (at most some 50,000 scores) is all that is sent
+everywhere; word counts grow with the corpus and stay in shards. Lists, the learning rounds and
+their sums run when a score is asked for, before the result does.
 """
 
 from __future__ import annotations
 
 import base64
 import math
+from itertools import islice
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import _IS_SPACE, SPACES, documents, id_remainder, lean, lowered, pack, partitions, slices, span_hashes, stored, unpack, words
+from .common import _IS_SPACE, SPACES, blocks_of, documents, id_remainder, lean, lowered, pack, slices, span_hashes, stored, unpack, words
 
-LONGEST = 48  # bytes of a chunk that the vectorised recursions take; longer ones run alone
+LONGEST = 48  # bytes of a chunk that the recursions over matrices take; longer ones run along an automaton
 
 
 def read_pieces(path: str) -> list[bytes]:
@@ -51,8 +55,9 @@ class Lattice:
 
     def __init__(self, pieces: list[bytes], scores: np.ndarray):
         self.pieces, self.scores = pieces, np.asarray(scores, np.float64)
-        self.longest = max(map(len, pieces))
-        self.index = {p: k for k, p in enumerate(pieces)}
+        self.sizes = np.array([len(p) for p in pieces])
+        self.score_list, self.size_list, self.longest = self.scores.tolist(), self.sizes.tolist(), int(self.sizes.max())
+        self.automata: dict[bool, ahocorasick.Automaton] = {}
         blob = np.frombuffer(b"".join(pieces), np.uint8)
         ends = np.cumsum([len(p) for p in pieces])
         keys = span_hashes(blob, np.concatenate([[0], ends[:-1]]), ends)
@@ -108,28 +113,38 @@ class Lattice:
             alpha[:, k] = self._sum(alpha[:, s[into]] + logs[:, into])
         return alpha
 
-    def _alphas(self, chunk: bytes) -> list[float]:
-        """The forward recursion over one long chunk, for each place."""
-        alpha = [0.0] + [-math.inf] * len(chunk)
-        for e in range(1, len(chunk) + 1):
-            terms = [alpha[s] + self.scores[k] for s in range(max(0, e - self.longest), e) if (k := self.index.get(chunk[s:e])) is not None]
-            top = max(terms)
-            alpha[e] = top + math.log(sum(math.exp(t - top) for t in terms))
-        return alpha
+    def _automaton(self, back: bool):
+        """Finds the pieces (or, for the way back, the reversed pieces) that end at each place of a chunk in one walk."""
+        if back not in self.automata:
+            made = self.automata[back] = ahocorasick.Automaton()
+            for k, p in enumerate(self.pieces):
+                made.add_word((p[::-1] if back else p).decode("latin-1"), k)
+            made.make_automaton()
+        return self.automata[back]
+
+    def _along(self, chunk: bytes, back: bool = False) -> np.ndarray:
+        """The recursion over one long chunk, for each place: forward, or backward from the end."""
+        scores, size, out, terms, at = self.score_list, self.size_list, [0.0], [], 0
+        for end, k in self._automaton(back).iter((chunk[::-1] if back else chunk).decode("latin-1")):
+            if end > at:
+                top = max(terms)
+                out.append(top + math.log(sum(math.exp(t - top) for t in terms)))
+                terms, at = [], end
+            terms.append(out[end + 1 - size[k]] + scores[k])
+        top = max(terms)
+        out.append(top + math.log(sum(math.exp(t - top) for t in terms)))
+        return np.array(out[::-1] if back else out)
 
     def _alone(self, chunk: bytes) -> float:
-        return self._alphas(chunk)[-1]
+        return float(self._along(chunk)[-1])
 
     def _count_alone(self, chunk: bytes, weight: float, total: np.ndarray) -> None:
-        """Adds the expected counts of one long chunk to total; edges are found again from their starts, so only a number for each place is held."""
-        alpha = self._alphas(chunk)
-        beta = [-math.inf] * len(chunk) + [0.0]
-        for s in range(len(chunk) - 1, -1, -1):
-            out = [(k, beta[e] + self.scores[k]) for e in range(s + 1, min(len(chunk), s + self.longest) + 1) if (k := self.index.get(chunk[s:e])) is not None]
-            top = max(t for _, t in out)
-            beta[s] = top + math.log(sum(math.exp(t - top) for _, t in out))
-            for k, t in out:
-                total[k] += weight * math.exp(alpha[s] + t - alpha[-1])
+        """Adds the expected counts of one long chunk to total, some of its edges at a time."""
+        alpha, beta = self._along(chunk), self._along(chunk, back=True)
+        edges = self._automaton(False).iter(chunk.decode("latin-1"))
+        while some := list(islice(edges, 1 << 20)):
+            end, k = np.array(some, np.int64).T
+            total += np.bincount(k, weight * np.exp(alpha[end + 1 - self.sizes[k]] + self.scores[k] + beta[end + 1] - alpha[-1]), len(total))
 
     def log_probability(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """Natural log of the summed probability of each chunk's segmentations."""
@@ -287,13 +302,13 @@ def score(docs: DataFrame, train, vocabulary: str, rounds: int = 3) -> DataFrame
     table gives an empty result. Other columns are ignored.
     """
     spark = docs.sparkSession
-    n = partitions(spark)
     pieces = read_pieces(vocabulary)
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.coalesce(train, F.lit(False)).alias("train"))
+    seen = rows.agg(F.sum(F.octet_length("text")).alias("size"), F.count_if("train").alias("ends")).first()
+    n, ends = blocks_of(spark, seen["size"]), seen["ends"]
     rows = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)).cast("int"))
-    ends = rows.filter("train").count()
-    lists = rows.select("text", "train", "block").groupBy("block").applyInArrow(_list_block(n), LISTS)
-    shards = stored(lists.groupBy("shard").applyInArrow(_merge_shard, SHARDS))
+    lists = rows.select("text", "train", "block").repartitionById(n, "block").groupBy("block").applyInArrow(_list_block(n), LISTS)
+    shards = stored(lists.repartitionById(n, "shard").groupBy("shard").applyInArrow(_merge_shard, SHARDS))
     seen = shards.agg(F.sum("n_tokens"), F.sum("n_words")).first()
     tokens, distinct = (seen[0] or 0) + ends, (seen[1] or 0) + (ends > 0)
     scores, end = learn_scores(shards, pieces, ends, rounds if ends else 0)
@@ -337,7 +352,8 @@ def score(docs: DataFrame, train, vocabulary: str, rounds: int = 3) -> DataFrame
         return pa.Table.from_arrays([table["doc_id"], pa.array(n_tokens), pa.array(n_known), pa.array(np.full(m, tokens, np.int64)), pa.array(base), pa.array(scored / math.log(10))], ["doc_id", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return rows.select("doc_id", "text", "block").groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(finish, f"doc_id {kind}, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    texts, answers = rows.select("doc_id", "text", "block").repartitionById(n, "block"), answers.repartitionById(n, "block")
+    return texts.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(finish, f"doc_id {kind}, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
 def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
