@@ -145,7 +145,8 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     to = rows.groupBy("part").agg(F.count("*").alias("n")).select("part", F.coalesce(F.lag("part").over(order), F.max("part").over(order.rowsBetween(W.unboundedPreceding, W.unboundedFollowing))).alias("to"))
     heads = heads.join(to, "part").select(F.col("to").alias("part"), F.lit(True).alias("last"), F.col("head.text").alias("text"))
     both = rows.select("part", F.lit(False).alias("last"), "doc_id", "tie", "text").unionByName(heads, allowMissingColumns=True)
-    dealt = both.repartition(n, "part").sortWithinPartitions("part", "last", "doc_id", "tie", "text")
+    # a task for each part; those of null ids, which are below 0, go along with others
+    dealt = both.repartitionById(n, F.pmod("part", F.lit(n))).sortWithinPartitions("part", "last", "doc_id", "tie", "text")
     names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
 
     def run(batches):
