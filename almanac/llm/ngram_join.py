@@ -1,17 +1,21 @@
 """Op 3, n-gram Jaccard join by vertical partitioning.
 
-Every document is a set of word n-grams (64-bit hashes). All n-grams stand in one global order:
-rarer first, by a count sketch of a fixed size over all documents, then by hash. Any order gives
-the same links; a rare-first one gives few candidates. The join has these steps:
+Every document is a set of word n-grams (64-bit hashes). Which n-grams of a set come first, where
+candidates are sought, is told by one order over all documents: rarer first, by a count sketch of
+a fixed size, then by hash. Any order gives the same links; a rare-first one gives few
+candidates. Overlaps are counted along the order of hashes, cut into fragments of equal share.
+Jobs for steps 1 to 4 run when the join is asked for, before its result does. The join has these
+steps:
 
 1. Equal sets become one class (any number of copies is one row from here on).
 2. Candidates: two sets with the overlap o that their sizes demand share an n-gram among the
    first (size - o + 1) of each. Those n-grams are listed by blocks of sets; lists meet by ranges
    of n-grams, where each block learns which of its n-grams other sets have, and only these
-   become postings. (A block lists an n-gram once, so a frequent one is no large group.)
+   become postings. (A block lists an n-gram once, so a frequent one is no large group. Blocks and
+   ranges follow the number of n-grams, so what one task holds does not grow with it.)
    Of more first n-grams, sets that overlap enough share more (size - o + k of each: k), so a
    pair is held against two-byte tags of them, which may overstate what is shared, never less.
-3. Exact overlaps: the global order (by hash) is cut into fragments; a set is cut into the same
+3. Exact overlaps: the global order of hashes is cut into fragments; a set is cut into the same
    fragments; for a pair, partial overlaps are counted in each fragment alone and summed.
 4. Links become components by label propagation with shortcuts.
 
@@ -32,11 +36,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SKETCH_SCHEMA, bit_batch, documents, lean, lowered, merged_bits, merged_sketch, mix, partitions, sketch_batch, slices, span_hashes, stored, words
+from .common import SKETCH_SCHEMA, bit_batch, blocks_of, documents, lean, lowered, merged_bits, merged_sketch, mix, reserve, sketch_batch, slices, span_hashes, stored, words
 
 BITS = 22  # the count sketch has 2**22 counters
 BITS_SEEN = 25  # the sketch of sets that are asked for has 2**25 bits
 FRAGMENTS = 8
+SALTS = 32  # places that a component's label is dealt to
 
 
 def shingle_sets(texts: pa.Array, n: int):
@@ -201,8 +206,9 @@ def join(docs: DataFrame, n: int = 5, percent: int = 80, fragments: int = FRAGME
     common = spark.sparkContext.broadcast(merged_sketch(seen.filter("part is not null").select("part", "counts"), BITS))
     seen = seen.filter("part is null").select("doc_id", "n", "id")
 
-    # 2: the first n-grams of each set in the global order, in blocks of sets
-    blocks = partitions(spark)
+    # 2: the first n-grams of each set in the rare-first order, in blocks of sets
+    grams = seen.agg(F.sum("n")).first()[0] or 0
+    blocks = blocks_of(spark, 8 * grams * (100 - percent) // 100)
 
     def prefixes(batches):
         for batch in batches:
@@ -229,7 +235,7 @@ def join(docs: DataFrame, n: int = 5, percent: int = 80, fragments: int = FRAGME
         listed = pa.Table.from_batches([_batch(lists, "block", "part", "grams", "twice")])
         return pa.concat_tables([own, listed], promote_options="default").select(["block", "id", "n", "grams", "part", "twice"])
 
-    kept = stored(docs.select("text").mapInArrow(lean(prefixes), "block int, id long, n int, grams binary").groupBy("block").applyInArrow(gather, "block int, id long, n int, grams binary, part int, twice binary"))
+    kept = stored(docs.select("text").mapInArrow(lean(prefixes), "block int, id long, n int, grams binary").repartitionById(blocks, "block").groupBy("block").applyInArrow(gather, "block int, id long, n int, grams binary, part int, twice binary"))
     sets = kept.filter("id is not null").select("block", "id", "n", "grams")
 
     def answer(table: pa.Table) -> pa.Table:
@@ -241,7 +247,7 @@ def join(docs: DataFrame, n: int = 5, percent: int = 80, fragments: int = FRAGME
         bits = np.split(many[place] > 1, np.cumsum([len(g) for g in lists])[:-1])
         return pa.Table.from_batches([_batch([(b, table["part"][0].as_py(), np.packbits(x).tobytes()) for b, x in zip(table["block"].to_pylist(), bits, strict=True)], "block", "part", "twice")])
 
-    answers = kept.filter("part is not null").select("block", "part", "grams", "twice").groupBy("part").applyInArrow(answer, "block int, part int, twice binary")
+    answers = kept.filter("part is not null").select("block", "part", "grams", "twice").repartitionById(blocks, "part").groupBy("part").applyInArrow(answer, "block int, part int, twice binary")
 
     def post(own: pa.Table, got: pa.Table) -> pa.Table:
         lists = [np.frombuffer(x, np.uint64) for x in own["grams"].to_pylist()]
@@ -257,7 +263,8 @@ def join(docs: DataFrame, n: int = 5, percent: int = 80, fragments: int = FRAGME
         whose = np.repeat(np.arange(len(lists)), sizes)[at]
         return pa.table({"gram": flat[at].view(np.int64), "id": own["id"].to_numpy()[whose], "n": own["n"].to_numpy()[whose], "pos": pos[at]})
 
-    postings = stored(sets.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(post, "gram long, id long, n int, pos int"))
+    dealt = sets.repartitionById(blocks, "block").groupBy("block"), answers.repartitionById(blocks, "block").groupBy("block")
+    postings = stored(dealt[0].cogroup(dealt[1]).applyInArrow(post, "gram long, id long, n int, pos int"))
     bound = postings.count()  # each posting gives at most a pair in round 1
 
     def tag(batches):
@@ -280,7 +287,7 @@ def join(docs: DataFrame, n: int = 5, percent: int = 80, fragments: int = FRAGME
     def likely(pairs: DataFrame) -> DataFrame:
         """The pairs that the tags of their first n-grams don't rule out."""
         met = pairs.join(tags.select(F.col("id").alias("a"), F.col("tags").alias("x")).hint("merge"), "a").join(tags.select(F.col("id").alias("b"), F.col("tags").alias("y")).hint("merge"), "b")
-        return stored(met.select("a", "b", "n_a", "n_b", "x", "y").mapInArrow(lean(may_link), "a long, b long, n_a int, n_b int"), bound)
+        return stored(met.select("a", "b", "n_a", "n_b", "x", "y").mapInArrow(lean(may_link), "a long, b long, n_a int, n_b int"))
 
     def fits(a: str, b: str) -> str:
         need = f"ceil({percent} * ({a}.n + {b}.n) / {100 + percent}.0D - 1e-9)"
@@ -306,11 +313,12 @@ def join(docs: DataFrame, n: int = 5, percent: int = 80, fragments: int = FRAGME
     if bound:
         found = components(links.union(stored(_overlaps(likely(rest), docs, n, percent, fragments), bound)))
 
-    # the smallest doc_id of each component, by way of its classes
+    # the smallest doc_id of each component, by way of its classes; one that nothing links is its own
+    # component, and a component's label is dealt out by salt, as many classes may have it
     classes = seen.filter("id is not null").groupBy("id").agg(F.min("doc_id").alias("least")).join(found, "id", "left")
-    classes = classes.select("id", "least", F.coalesce("label", "id").alias("label"))
-    least = classes.groupBy("label").agg(F.min("least").alias("component_id"))
-    final = classes.join(least, "label").select("id", "component_id")
+    joined = classes.filter("label is not null").withColumn("salt", F.pmod("id", F.lit(SALTS)))
+    least = joined.groupBy("label").agg(F.min("least").alias("component_id")).withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    final = joined.join(least.hint("merge"), ["label", "salt"]).select("id", "component_id").union(classes.filter("label is null").select("id", "least"))
     return seen.join(final, "id", "left").select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.col("id").alias("set_id"), F.when(F.col("id").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
@@ -319,8 +327,10 @@ def keep_one(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
 
     A null doc_id comes after all others; of different texts under one doc_id the least hash
     stands first. Texts that nothing links all stay, whatever their doc_id, and so do texts
-    without words, which are linked with nothing.
+    without words, which are linked with nothing. An empty table gives an empty result. Raises
+    ValueError for a column by the name of _first, _tie or _own; others may have any name.
     """
+    reserve(docs, "_first", "_tie", "_own")
     worded = F.coalesce(F.col("text").rlike("[^\\x20\\x09-\\x0D]"), F.lit(False))
     # a doc_id may be null or have several texts: (doc_id, hash of the text) tells them apart and orders them
     key = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("tie"))
