@@ -66,12 +66,12 @@ def excel_date(serial: Column, epoch_1904: Column | bool = False) -> Column:
     return F.when((serial >= 0) & (serial == F.floor(serial)), F.when(epoch, F.date_add(F.lit(dt.date(1904, 1, 1)), serial.cast("int"))).otherwise(old))
 
 
-def number(text: Column, decimal: str = ".") -> Column:
-    """A strict decimal number, null for anything else (no thousands separators, NaN or infinity)."""
+def number(text: Column, decimal: str = ".", finite_only: bool = True) -> Column:
+    """A strict decimal number, null for anything else (no thousands separators, NaN or infinity). One beyond a double's range is null too, or infinite where not ``finite_only``."""
     mark = "," if decimal == "," else "\\."
-    plain = F.when(text.rlike(rf"^[+-]?([0-9]+({mark}[0-9]*)?|{mark}[0-9]+)([eE][+-]?[0-9]+)?$"), F.regexp_replace(text, ",", "."))
+    plain = F.when(text.rlike(rf"^[+-]?([0-9]+({mark}[0-9]*)?|{mark}[0-9]+)([eE][+-]?[0-9]+)?\z"), F.regexp_replace(text, ",", "."))
     value = plain.try_cast("double")
-    return F.when(F.abs(value) < float("inf"), value)
+    return F.when(F.abs(value) < float("inf"), value) if finite_only else value
 
 
 def unit_decimals(unit: Column) -> Column:

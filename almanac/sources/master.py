@@ -10,8 +10,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import cutoff
-from ..operators.contract import validate
+from ..operators.contract import quality_report, validate
 from ..operators.store import FIELDS, RESERVED, Store
+from ..storage import staged
 from . import csv_strict, ecb_xml
 
 #: What the bank's series are called in the store.
@@ -41,24 +42,23 @@ def import_master(store: Store, path: str, metadata: str, now: dt.datetime, *, d
     Instruments that metadata does not declare are left out; a declared one without rows rejects the import.
     """
     declared = read_metadata(metadata)
-    spark = store.spark
-    rows = csv_strict.records(spark, path, delimiter).cache()
-    names = rows.orderBy("row").first()["fields"]
-    if any(c not in names for c in (date_column, value_column, instrument_column)) or len(set(names)) != len(names):
-        raise ValueError("a declared column is missing or repeated")
-    if not rows.filter(F.size("fields") != len(names)).isEmpty():
-        raise ValueError("a row has another number of fields than the header")
+    csv_strict.date_pattern(date_format)
+    rows = staged(csv_strict.records(store.spark, path, delimiter))
+    names, body = csv_strict.checked(rows)
+    if any(c not in names for c in (date_column, value_column, instrument_column)):
+        raise ValueError("a declared column is missing")
     at = lambda c: F.get("fields", F.lit(names.index(c)))
-    first = rows.agg(F.min("row")).first()[0]
-    text = rows.filter(F.col("row") > first).select("row", at(instrument_column).alias("series_id"), at(date_column).alias("date_text"), at(value_column).alias("value_text"))
-    own = csv_strict.typed(text.filter(F.col("series_id").isin([m["series_id"] for m in declared])), date_format, decimal)
-    blank = F.trim("value_text") == ""
-    if not own.filter(F.col("date").isNull() | ~blank & F.col("value").isNull()).isEmpty():
-        raise ValueError("a date or value is not of the declared format")
-    if not own.groupBy("series_id", "date").count().filter("count > 1").isEmpty():
-        raise ValueError("duplicate_date")
-    if not skip_missing and not own.filter(blank).isEmpty():
-        raise ValueError("missing_value")
+    text = body.select("row", at(instrument_column).alias("series_id"), at(date_column).alias("date_text"), at(value_column).alias("value_text"))
+    text = text.filter(F.col("series_id").isin([m["series_id"] for m in declared]))
+    found = csv_strict.issues_of(text, date_format, decimal)
+    if not found.isEmpty():
+        raise csv_strict.CsvRejected(found)
+    own = csv_strict.typed(text, date_format, decimal)
+    wrong = quality_report(own).select("row", "code", "message")
+    wrong = wrong.filter("code <> 'missing_value'") if skip_missing else wrong
+    if not wrong.isEmpty():
+        raise csv_strict.CsvRejected(wrong)
+    blank = F.col("value").isNull()
     kept = own.filter(~blank).select("series_id", "date", "value")
     kept = kept.filter(F.col("date") <= F.lit(cutoff(as_of))) if as_of else kept
     if kept.select("series_id").distinct().count() != len(declared):

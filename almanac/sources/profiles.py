@@ -57,3 +57,10 @@ def compatible(profile: dict, headers: dict[str, str]) -> dict:
         if headers.get(m["column"]) != m["header"]:
             raise ValueError(f"column {m['column']} is not {m['header']!r} any more")
     return profile
+
+
+def capture(worksheet: str, headers: dict[str, str], *, date_column: str, mappings: list[dict], header_row: int = 1, start_row: int = 4, decimal: str = ".", date_format: str = "ISO") -> dict:
+    """A checked profile of the settings of an import; headers are those of the sheet by column letter, mappings have column, title, unit and role."""
+    named = lambda column: {"column": column, "header": headers.get(column, "")}
+    columns = [named(m["column"]) | {k: m[k] for k in ("title", "unit", "role")} for m in mappings]
+    return check({"format": FORMAT, "version": VERSION, "kind": "XLSX", "worksheet": worksheet, "header_row": header_row, "start_row": start_row, "date": named(date_column), "mappings": columns, "decimal": decimal, "date_format": date_format})

@@ -127,10 +127,16 @@ def read_workbooks(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(parse, CELLS)
 
 
-def inspect_sheet(cells: DataFrame, sheet: str, rows: int = 10) -> DataFrame:
-    """The first rows of a sheet as (row, col, value, type, formula)."""
-    value = F.coalesce("text", F.col("num").cast("string"))
-    return cells.filter((F.col("sheet") == sheet) & (F.col("row") <= rows)).select("row", "col", value.alias("value"), "type", "formula").orderBy("row", "col")
+def _shown(cells: DataFrame) -> DataFrame:
+    return cells.select("row", "col", F.coalesce("text", F.col("num").cast("string")).alias("value"), "type", "formula").orderBy("row", "col")
+
+
+def inspect_sheet(cells: DataFrame, sheet: str, rows: int = 10, header_row: int = 1, start_row: int | None = None) -> DataFrame:
+    """The header row and the first ``rows`` rows from ``start_row`` (default: the header's) of a sheet as (row, col, value, type, formula)."""
+    start = header_row if start_row is None else start_row
+    if header_row < 1 or start < header_row or rows < 1:
+        raise ValueError("rows count from 1, and data do not begin before their header")
+    return _shown(cells.filter((F.col("sheet") == sheet) & ((F.col("row") == header_row) | F.col("row").between(start, start + rows - 1))))
 
 
 def wide_to_series(wide: DataFrame, date: str, columns: list[str]) -> DataFrame:
