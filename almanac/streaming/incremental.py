@@ -23,12 +23,20 @@ def daily_stream(events: DataFrame, delay: str = "2 days") -> DataFrame:
 
 
 def refresh(stream: DataFrame, store: Store, metadata: list[dict], checkpoint: str, clock=lambda: dt.datetime.now(dt.timezone.utc).replace(tzinfo=None)) -> StreamingQuery:
-    """Upserts each micro-batch of (series_id, date, value); running a batch again changes nothing. Stops when the source has no more for now."""
+    """Upserts each micro-batch of (series_id, date, value). Stops when the source has no more for now.
 
-    def write(batch: DataFrame, _: int) -> None:
+    The store notes the last batch of each checkpoint, so a batch that runs again changes nothing,
+    its log of imports included. Equal rows of a batch count once; a date with two values in one
+    batch fails it, as nothing tells which is right.
+    """
+
+    def write(batch: DataFrame, number: int) -> None:
         if not batch.isEmpty():
-            latest = batch.groupBy("series_id", "date").agg(F.max("value").alias("value"))
-            named = {r["series_id"] for r in latest.select("series_id").distinct().collect()}  # as many as metadata has
-            store.upsert([m for m in metadata if m["series_id"] in named], latest, clock())
+            rows = batch.groupBy("series_id", "date").agg(F.max("value").alias("value"), (F.min("value") != F.max("value")).alias("_two"))
+            two = rows.agg(F.count_if("_two")).first()[0]
+            if two:
+                raise ValueError(f"{two} dates have two values in one batch")
+            named = {r["series_id"] for r in rows.select("series_id").distinct().limit(len(metadata) + 1).collect()}  # one more than metadata has is one too many
+            store.upsert([m for m in metadata if m["series_id"] in named], rows.drop("_two"), clock(), stream=(checkpoint, number))
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -28,7 +28,7 @@ def test_csv_instruments_and_rows(spark, tmp_path):
     got = _import(spark, tmp_path, text, instrument_column="instrument_id", instrument="A")
     assert [(r["value"], r["row"]) for r in got.frame.orderBy("date").collect()] == [(100, 4), (120, 5), (0, 2), (-4, 6)]
     assert [r["row"] for r in got.filtered_instrument_rows.collect()] == [3]
-    with pytest.raises(ValueError, match="instruments"):
+    with pytest.raises(ValueError, match="missing_instrument_selection"):
         _import(spark, tmp_path, text)
 
 
@@ -46,17 +46,102 @@ def test_csv_dialect_and_quotes(spark, tmp_path):
     assert [(r["date"], r["value"], r["row"]) for r in got.frame.orderBy("date").collect()] == [(D("2024-12-31"), 1.5, 3), (D("2025-01-01"), 5.0, 5)]
 
 
-@pytest.mark.parametrize(("text", "match"), [("date,value\n2024-01-01,1\n2024-01-01,\n", "duplicate_date"), ("date,value\n2024-02-30,1\n", "missing_date"), ("date,value\n2024-01-01,1 000\n", "numbers"), ("date,value\n2024-01-01,NaN\n", "numbers"), ("date,value\n2024-01-01\n", "fields"), ("date,other\n2024-01-01,1\n", "not found"), ("date,value\n", "empty_data"), ("date,value\n2030-01-01,x\n", "numbers")])
+@pytest.mark.parametrize(
+    ("text", "match"),
+    [
+        ("date,value\n2024-01-01,1\n2024-01-01,\n", "duplicate_date at row 2; duplicate_date at row 3"),
+        ("date,value\n2024-02-30,1\n", "invalid_date at row 2"),
+        ("date,value\n2024-01-01,1 000\n2024-01-02,x\n", "invalid_numeric at row 2; invalid_numeric at row 3"),
+        ("date,value\n2024-01-01,NaN\n", "invalid_numeric"),
+        ("date,value\n2024-01-01,1e999\n", "nonfinite_value"),
+        ("date,value\n2024-01-01\n", "field_count at row 2"),
+        ("date,value\n2024-01-01,1\n\n2024-01-02,2\n", "field_count at row 3"),
+        ('date,value\n2024-01-01,1\n2024-01-02,"2"x\n', "malformed_csv at row 3"),
+        ("date,other\n2024-01-01,1\n", "missing_column"),
+        ("date,value,\n2024-01-01,1,\n", "invalid_header"),
+        ("date,value,value\n2024-01-01,1,1\n", "duplicate_columns"),
+        ("\ndate,value\n2024-01-01,1\n", "invalid_header"),
+        ("", "missing_header"),
+        ("date,value\n", "empty_data"),
+        ("date,value\n2030-01-01,x\n", "invalid_numeric"),
+    ],
+)
 def test_csv_rejects(spark, tmp_path, text, match):
-    with pytest.raises(ValueError, match=match):
+    with pytest.raises(csv_strict.CsvRejected, match=match):
         _import(spark, tmp_path, text, missing_values="skip", max_date=D("2025-01-01"))
 
 
-def test_csv_formats():
-    assert csv_strict.spark_format("%d %b %Y") == "dd MMM yyyy"
-    for bad in ("%d/%m/%y", "%Y-%m", "%Y-%m-%d %z"):
+def test_csv_issues_have_rows(spark, tmp_path):
+    with pytest.raises(csv_strict.CsvRejected) as e:
+        _import(spark, tmp_path, "date,value\nx,1\n2024-01-02,y\n2024-01-03,1\n2024/01/04,z\n")
+    assert [(r["row"], r["code"]) for r in e.value.issues.orderBy("row").collect()] == [(2, "invalid_date"), (3, "invalid_numeric"), (5, "invalid_date")]
+    got = _import(spark, tmp_path, "date,value\n2024-01-01,1\n2024-01-02,\n", missing_values="skip")
+    assert [(r["row"], r["code"]) for r in got.report.collect()] == [(3, "missing_value")]
+
+
+def test_csv_blank_rows_after_the_cutoff(spark, tmp_path):
+    got = _import(spark, tmp_path, "date,value\n2024-01-01,1\n2024-02-01,\n", missing_values="skip", max_date=D("2024-01-15"))
+    assert [r["row"] for r in got.skipped_missing_rows.collect()] == [] and [r["row"] for r in got.filtered_date_rows.collect()] == [3]
+
+
+def test_a_file_is_read_anew(spark, tmp_path):
+    first = _import(spark, tmp_path, "date,value\n2024-01-01,1\n")
+    second = _import(spark, tmp_path, "date,value\n2024-01-02,2\n2024-01-03,3\n")
+    assert [r["value"] for r in second.frame.orderBy("date").collect()] == [2, 3] and [r["value"] for r in first.frame.collect()] == [1]
+    head = ",".join(fundamentals_csv.HEADER)
+    for stocks in (25, 30):
+        (tmp_path / "f.csv").write_text(f"{head}\n2025-08-12,wheat,EU,2025/26,bushels,{stocks},100\n")
+        assert fundamentals_csv.read(spark, str(tmp_path / "f.csv")).first()["ending_stocks"] == stocks
+
+
+@pytest.mark.parametrize(
+    ("options", "day"),
+    [({"date_format": "%Y-%m-%d"}, "2024-1-1"), ({"date_format": "%d %b %Y"}, "1 jan 2024"), ({"date_format": "%B %d, %Y"}, "January 01, 2024"), ({"date_format": "%Y%m%d"}, "20240101"), ({"date_format": "%Y-%m-%d %H:%M"}, "2024-01-01 00:00"), ({"date_format": "%d%%%m.%Y"}, "1%1.2024")],
+)
+def test_csv_dates(spark, tmp_path, options, day):
+    got = _import(spark, tmp_path, f'date;value\n" {day}\t";1\n', delimiter=";", **options)
+    assert got.frame.first()["date"] == D("2024-01-01")
+
+
+@pytest.mark.parametrize("day", ["2024-01-01x", "24-01-01", "2024-13-01", "2024-00-01", "0000-01-01", "2024-01-32", "", "2023-02-29"])
+def test_csv_bad_dates(spark, tmp_path, day):
+    with pytest.raises(ValueError, match="invalid_date"):
+        _import(spark, tmp_path, f"date,value\n{day},1\n")
+    with pytest.raises(ValueError, match="invalid_daily_date"):
+        _import(spark, tmp_path, "date,value\n2024-01-01 01:00,1\n", date_format="%Y-%m-%d %H:%M")
+
+
+def test_csv_options(spark, tmp_path):
+    for bad in ({"date_format": "%d/%m/%y"}, {"date_format": "%Y-%m"}, {"date_format": "%Y-%m-%d %z"}, {"date_format": "%Y-%d"}, {"date_column": "value"}, {"instrument": "A"}, {"instrument_column": "date", "instrument": "A"}, {"instrument_column": "x"}, {"delimiter": "\n"}, {"delimiter": ",,"}, {"decimal": ","}, {"skip_rows": -1}, {"skip_rows": True}, {"missing_values": "fill"}, {"max_date": dt.datetime(2024, 1, 1)}):
+        with pytest.raises(ValueError):
+            _import(spark, tmp_path, "date,value\n2024-01-01,1\n", **bad)
+
+
+def test_csv_preview(spark, tmp_path):
+    (tmp_path / "p.csv").write_text("a,b\n1,2\n\n3,4\n")
+    assert csv_strict.preview(spark, str(tmp_path / "p.csv"), n=2) == (["a", "b"], [["1", "2"], []], 3)
+    (tmp_path / "e.csv").write_text("")
+    with pytest.raises(ValueError, match="missing_header"):
+        csv_strict.preview(spark, str(tmp_path / "e.csv"))
+
+
+def test_bounded_import(spark, tmp_path):
+    def read(text, **options):
+        (tmp_path / "b.csv").write_text(text)
+        return csv_strict.import_bounded(spark, str(tmp_path / "b.csv"), **({"as_of": D("2024-01-31"), "date_column": "date", "value_column": "value"} | options))
+
+    got = read("date,value\n2024-01-02,5\n2024-01-01,1e100\n2024-02-01,-3\n2024-02-02,\n", skip_blank_rows=True)
+    assert [r["value"] for r in got.frame.orderBy("date").collect()] == [1e100, 5] and got.total_rows == 4
+    assert not got.original_all_positive and [r["row"] for r in got.skipped_blank_rows.collect()] == [5] and [r["row"] for r in got.skipped_future_rows.collect()] == [4]
+    assert read("date,value\n2024-01-02,5\n").original_all_positive
+    for text, match in {"date,value\n2024-01-02,\n": "missing_value", "date,value\n2024-1-2,1\n": "invalid_date", "date,value\n2024-01-02,1e101\n": "out_of_domain", "date,value\n2024-02-02,1e-101\n2024-01-01,1\n": "out_of_domain", "date,value\n2024-02-02,1\n": "empty_data", "date,instrument_id,value\n2024-01-02,a,1\n": "instrument", "date,value\n2024-01-02,1\n2024-01-02,2\n": "duplicate_date"}.items():
+        with pytest.raises(ValueError, match=match):
+            read(text)
+    for options in ({"delimiter": "|"}, {"value_column": "date"}, {"decimal": "x"}):
         with pytest.raises(ValueError):
-            csv_strict.spark_format(bad)
+            read("date,value\n2024-01-02,1\n", **options)
+    with pytest.raises(ValueError, match="20,000"):
+        read("date,value\n" + "2024-01-02,1\n" * 20_001)
 
 
 XML = '<?xml version="1.0"?><g:Envelope xmlns:g="u:g" xmlns="u:e"><Cube>{}</Cube></g:Envelope>'
@@ -112,6 +197,10 @@ def test_workbook(spark, tmp_path):
     with pytest.raises(ValueError, match="unit"):
         sheets.sheet_series(cells, "P", as_of=D("2024-02-01"), date_column=0, mappings=[MAPS[0] | {"unit": "USD/t"}])
     assert sheets.inspect_sheet(cells, "P", 1).count() == 3
+    shown = sheets.inspect_sheet(cells, "P", 2, header_row=1, start_row=4).collect()
+    assert sorted({r["row"] for r in shown}) == [1, 4, 5] and [r["formula"] for r in shown if r["row"] == 5 and r["col"] == 1] == [True]
+    with pytest.raises(ValueError):
+        sheets.inspect_sheet(cells, "P", 2, header_row=3, start_row=2)
 
 
 def test_workbook_archives():
@@ -140,6 +229,8 @@ def test_profiles():
     assert profiles.parse(profiles.serialize(p)) == p and profiles.compatible(p, {"A": "date", "B": "price"}) == p
     with pytest.raises(ValueError):
         profiles.compatible(p, {"A": "date", "B": "other"})
+    got = profiles.capture("P", {"A": "date", "B": "price"}, date_column="A", mappings=[{"column": "B", "title": "w", "unit": "EUR/t", "role": "wheat"}])
+    assert got == p and profiles.parse(profiles.serialize(got)) == got
     for bad in ("{", json.dumps(p | {"version": 2}), json.dumps(p | {"more": 1}), json.dumps(p | {"start_row": 1})):
         with pytest.raises(ValueError):
             profiles.parse(bad)
@@ -169,12 +260,75 @@ def test_store(spark, tmp_path):
     with pytest.raises(ValueError, match="positive"):
         s.upsert([META | {"series_id": "EUR_PLN"}], _rows(spark, ("2024-01-03", 0), series_id="EUR_PLN"), now[3])
     assert [r["value"] for r in s.read("w").collect()] == [12, 0]
-    s.export("w", str(tmp_path / "csv"))
+    s.export("w", str(tmp_path / "w.csv"))
+    assert (tmp_path / "w.csv").read_bytes() == b"date,instrument_id,value\r\n2024-01-01,w,12.0\r\n2024-01-02,w,0.0\r\n"
+    with pytest.raises(FileExistsError):
+        s.export("w", str(tmp_path / "w.csv"))
     s.backup(str(tmp_path / "copy"))
-    assert Store(spark, str(tmp_path / "copy")).read("w").count() == 2
+    assert Store(spark, str(tmp_path / "copy")).read("w").count() == 2 and Store(spark, str(tmp_path / "copy")).table("revisions").count() == 3
+    with pytest.raises(ValueError, match="new folder"):
+        s.backup(str(tmp_path / "copy"))
     (tmp_path / "repo" / ".git").mkdir(parents=True)
     with pytest.raises(ValueError, match="checkout"):
         Store(spark, str(tmp_path / "repo" / "private"))
+    (tmp_path / "link").symlink_to(tmp_path / "repo")
+    with pytest.raises(ValueError, match="checkout"):
+        Store(spark, str(tmp_path / "link" / "private"))
+
+
+def test_store_writes_only_what_changes(spark, tmp_path, monkeypatch):
+    from almanac.operators import store
+
+    monkeypatch.setattr(store, "FOLDERS", 3)
+    s = Store(spark, str(tmp_path / "store")).create()
+    metas = [META | {"series_id": k} for k in ("a", "b")]
+    assert store.bucket_of("a") != store.bucket_of("b")
+    rows = _rows(spark, ("2024-01-01", 1), series_id="a").union(_rows(spark, ("2024-01-01", 2), series_id="b"))
+    s.upsert(metas, rows, dt.datetime(2024, 1, 1))
+    before = s._state()["observations"]
+    for k in range(2, 7):
+        s.upsert(metas[:1], _rows(spark, ("2024-01-01", k), series_id="a"), dt.datetime(2024, 1, k))
+    after = s._state()["observations"]
+    assert after[str(store.bucket_of("b"))] == before[str(store.bucket_of("b"))] and after[str(store.bucket_of("a"))] != before[str(store.bucket_of("a"))]
+    assert s.read("a").first()["value"] == 6 and s.read("b").first()["value"] == 2 and s.read("none").count() == 0
+    assert s.table("revisions").count() == 7 and s.table("imports").count() == 7 and s.table("series").count() == 2 and len(s._state()["imports"]) <= 3
+    # what a write replaced is gone after the next one, and no more than two pointers stay
+    assert len([p for p in (tmp_path / "store").iterdir() if p.name.startswith("STATE-")]) == 2
+    assert not (tmp_path / "store" / before[str(store.bucket_of("a"))]).exists()
+    # a writer that lost its number changes nothing
+    stale = s._state() | {"number": s._state()["number"] - 1}
+    with pytest.raises(Exception, match="exists"):
+        s._point(stale)
+    # a pointer that is still being written is passed over
+    (tmp_path / "store" / f"STATE-{s._state()['number'] + 1:012d}").write_text("{")
+    assert s.read("a").first()["value"] == 6
+
+
+def test_technical_export(spark, tmp_path):
+    from almanac.operators import technical
+    from almanac.sources import exports
+
+    rows = spark.createDataFrame([("w", D("2024-01-01") + dt.timedelta(k), float(k)) for k in range(21)], "series_id string, date date, value double")
+    to = f"file://{tmp_path}/t.csv"
+    exports.write_technical(technical.technical(rows, D("2024-02-01")), to)
+    lines = (tmp_path / "t.csv").read_text().split("\n")
+    assert lines[0] == "date,value,sma20,sma100,sma200,bollinger_upper,bollinger_lower" and lines[1] == "2024-01-01,0,,,,," and lines[20].startswith("2024-01-20,19,9.5,,,") and len(lines) == 23
+    with pytest.raises(FileExistsError):
+        exports.write_technical(technical.technical(rows, D("2024-02-01")), to)
+    with pytest.raises(ValueError, match="one series"):
+        exports.write_technical(technical.technical(rows.union(rows.withColumn("series_id", F.lit("x"))), D("2024-02-01")), f"file://{tmp_path}/u.csv")
+
+
+def test_diff_pages(spark):
+    from almanac.operators import store
+
+    old = _rows(spark, *[(f"2024-01-{k:02d}", k) for k in range(1, 11)])
+    new = _rows(spark, *[(f"2024-01-{k:02d}", k + k % 2) for k in range(1, 13)])
+    diff = store.version_diff(old, new)
+    pages = [[r["date"].day for r in store.diff_page(diff, p, 3).collect()] for p in (1, 2, 3, 4)]
+    assert pages == [[1, 3, 5], [7, 9, 11], [12], []]
+    with pytest.raises(ValueError):
+        store.diff_page(diff, 0)
 
 
 def test_stream_refresh(spark, tmp_path):
@@ -186,6 +340,11 @@ def test_stream_refresh(spark, tmp_path):
     _rows(spark, ("2024-01-01", 5)).coalesce(1).write.mode("append").parquet(str(src))
     incremental.refresh(stream(), s, [META], str(tmp_path / "ck")).awaitTermination()
     assert [r["value"] for r in s.read("w").collect()] == [5, 2] and s.table("revisions").count() == 3
+    assert s.upsert([META], _rows(spark, ("2024-01-01", 9)), dt.datetime(2025, 1, 1), stream=(str(tmp_path / "ck"), 1)).count() == 0
+    assert s.table("imports").count() == 2 and s.read("w").first()["value"] == 5
+    _rows(spark, ("2024-01-03", 5), ("2024-01-03", 6)).coalesce(1).write.mode("append").parquet(str(src))
+    with pytest.raises(Exception, match="two values"):
+        incremental.refresh(stream(), s, [META], str(tmp_path / "ck")).awaitTermination()
 
 
 def test_daily_stream(spark, tmp_path):
@@ -230,4 +389,7 @@ def test_report(spark):
 
     df = _rows(spark, ("2023-01-01", 10), ("2024-01-02", 12))
     page = seasonal_report(monthly.seasonal_profile(df, D("2024-01-05"), 5), monthly.seasonal_current(df, D("2024-01-05"), 5), "A <title>", "EUR/t")
-    assert "A &lt;title&gt;" in page and page.count("<tr>") == 13
+    assert "A &lt;title&gt;" in page and page.count("<tr>") == 13 and "<svg" in page
+    two = df.union(df.withColumn("series_id", F.lit("x")))
+    with pytest.raises(ValueError, match="one series"):
+        seasonal_report(monthly.seasonal_profile(two, D("2024-01-05"), 5), monthly.seasonal_current(two, D("2024-01-05"), 5), "A", "EUR/t")
