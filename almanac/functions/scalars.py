@@ -56,7 +56,18 @@ def log_change_pct(end: Column, start: Column) -> Column:
 
 def finite(value: Column, purpose: str) -> Column:
     """The value; an infinite or NaN one raises."""
-    return F.when(F.isnan(value) | (F.abs(value) == float("inf")), F.raise_error(F.lit(f"{purpose} exceeded the supported numeric range")).cast("double")).otherwise(value)
+    return F.when((F.abs(value) < float("inf")) | value.isNull(), value).otherwise(F.raise_error(F.lit(f"{purpose} exceeded the supported numeric range")).cast("double"))
+
+
+def safe_mean(value: Column) -> Column:
+    """A mean whose sum can't overflow: of large values the mean of values scaled by a power of two, which loses nothing."""
+    return F.when(F.max(F.abs(value)) > 1e280, F.avg(value * 2.0**-64) * 2.0**64).otherwise(F.avg(value))
+
+
+def root_mean_square(value: Column) -> Column:
+    """The root of the mean square, of values scaled by a power of two where squares would overflow or vanish."""
+    top, square = F.max(F.abs(value)), lambda x: F.avg(x * x)
+    return F.when(top > 1e140, F.sqrt(square(value * 2.0**-600)) * 2.0**600).when(top < 1e-140, F.sqrt(square(value * 2.0**600)) * 2.0**-600).otherwise(F.sqrt(square(value)))
 
 
 def excel_date(serial: Column, epoch_1904: Column | bool = False) -> Column:
@@ -94,4 +105,5 @@ def month_status(year: Column | int, month: Column, as_of: dt.date) -> Column:
 def scenario(price: Column, fx: Column, tonnes: Column, base_price: Column, base_fx: Column) -> dict[str, Column]:
     """What a tonnage is worth at a price and a rate, and how much more than at the baseline."""
     level, base = price * fx, base_price * base_fx
-    return {"pln_per_tonne": level, "benchmark_value_pln": level * tonnes, "baseline_pln_per_tonne": base, "change_pln_per_tonne": level - base, "change_benchmark_value_pln": (level - base) * tonnes, "change_pct": pct(level, base)}
+    out = {"pln_per_tonne": level, "benchmark_value_pln": level * tonnes, "baseline_pln_per_tonne": base, "change_pln_per_tonne": level - base, "change_benchmark_value_pln": (level - base) * tonnes, "change_pct": pct(level, base)}
+    return {k: finite(c, "Scenario") for k, c in out.items()}

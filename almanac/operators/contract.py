@@ -8,12 +8,13 @@ the lazy check is a subquery of its own that a filter needs.
 from __future__ import annotations
 
 import datetime as dt
+import functools
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.scalars import cutoff
+from ..functions.scalars import cutoff, finite
 
 
 def by_series():
@@ -87,6 +88,18 @@ def visible(df: DataFrame, as_of: dt.date, check: bool = True, positive: bool =
     return df.select("series_id", F.col("date").cast("date").alias("date"), F.col("value").cast("double").alias("value")).filter(F.col("date") <= F.lit(as_of))
 
 
+def finite_results(operator):
+    """An operator whose doubles raise when they are infinite or no number: an overflow is never passed on."""
+    purpose = operator.__name__.replace("_", " ").capitalize()
+
+    @functools.wraps(operator)
+    def run(*args, **options) -> DataFrame:
+        out = operator(*args, **options)
+        return out.select(*[finite(F.col(f"`{c}`"), purpose).alias(c) if kind == "double" else F.col(f"`{c}`") for c, kind in out.dtypes])
+
+    return run
+
+
 def cutoff_counts(df: DataFrame, as_of: dt.date) -> DataFrame:
     """Rows up to the cutoff and after it, of each series."""
     return df.groupBy("series_id").agg(F.count_if(F.col("date") <= F.lit(cutoff(as_of))).alias("visible"), F.count_if(F.col("date") > F.lit(as_of)).alias("excluded_future_observations"))

@@ -8,12 +8,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.scalars import finite
-from .contract import obs, visible
+from ..functions.scalars import finite, root_mean_square, safe_mean
+from .contract import finite_results, obs, visible
 
 MODELS = ("naive", "drift", "mean20")
 
 
+@finite_results
 def walk_forward_rows(df: DataFrame, as_of: dt.date, min_training: int = 200, max_origins: int = 252, horizons: tuple[int, ...] = (1, 5, 20), start: dt.date | None = None) -> DataFrame:
     """Predictions and actual values of the last origins that have a later target, for each horizon."""
     if not 20 <= min_training <= 20000 or not 1 <= max_origins <= 1000 or not horizons or set(horizons) - {1, 5, 20} or len(set(horizons)) != len(horizons):
@@ -31,12 +32,13 @@ def walk_forward_rows(df: DataFrame, as_of: dt.date, min_training: int = 200, ma
     return rows.select("series_id", "h.horizon", F.col("date").alias("origin_date"), F.col("h.t.date").alias("target_date"), F.col("h.t.value").alias("actual"), F.col("value").alias("naive"), finite(drift, "Drift prediction").alias("drift"), "mean20")
 
 
+@finite_results
 def walk_forward(df: DataFrame, as_of: dt.date, **options) -> DataFrame:
     """Mean absolute and root mean square error of each model, and skill against the last value (null where that has no error)."""
     rows = walk_forward_rows(df, as_of, **options)
     errors = F.array(*[F.struct(F.lit(m).alias("model"), (F.col(m) - F.col("actual")).alias("error")) for m in MODELS])
     rows = rows.select("series_id", "horizon", F.explode(errors).alias("e"))
-    out = rows.groupBy("series_id", "horizon", F.col("e.model").alias("model")).agg(F.count("*").alias("count"), F.avg(F.abs("e.error")).alias("mae"), F.sqrt(F.avg(F.col("e.error") * F.col("e.error"))).alias("rmse"))
+    out = rows.groupBy("series_id", "horizon", F.col("e.model").alias("model")).agg(F.count("*").alias("count"), safe_mean(F.abs("e.error")).alias("mae"), root_mean_square(F.col("e.error")).alias("rmse"))
     each = W.partitionBy("series_id", "horizon")
     base = lambda c: F.max(F.when(F.col("model") == "naive", F.col(c))).over(each)
     skill = lambda c: 1 - F.try_divide(F.col(c), F.nullif(base(c), F.lit(0.0)))

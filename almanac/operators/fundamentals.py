@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.scalars import cutoff, marketing_year_ok
+from .contract import finite_results
 
 KEY = ("commodity", "region", "marketing_year")
 
@@ -31,6 +32,7 @@ def validate(rows: DataFrame) -> DataFrame:
     return rows
 
 
+@finite_results
 def fundamental_revisions(rows: DataFrame, as_of: dt.date) -> DataFrame:
     """Every visible vintage with its stocks-to-use ratio and how it differs from the vintage before."""
     seen = rows.filter(F.col("publication_date") <= F.lit(cutoff(as_of)))

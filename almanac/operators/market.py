@@ -9,9 +9,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.scalars import finite, log_change_pct, pct, shift_months
-from .contract import obs, visible
+from .contract import finite_results, obs, visible
 
 EPSILON = 2.220446049250313e-16
+MOST = 12  # series that are compared in all pairs
 
 
 def _rates(fx: DataFrame, as_of: dt.date) -> DataFrame:
@@ -46,6 +47,7 @@ def spread(left: DataFrame, right: DataFrame, as_of: dt.date, left_unit: str, ri
     return rows.select("date", finite(F.col("l") - F.col("r"), "Spread").alias("value"))
 
 
+@finite_results
 def indexed_comparison(df: DataFrame, as_of: dt.date, start: dt.date) -> DataFrame:
     """Every series as 100 at the first date from start on that all of them have, on the dates that all of them have.
 
@@ -68,12 +70,28 @@ def returns(rows: DataFrame) -> DataFrame:
     return out.filter("return_pct is not null")
 
 
-def matched_intervals(df: DataFrame, as_of: dt.date) -> DataFrame:
-    """Returns of pairs of series over intervals with the same start and end."""
-    r = returns(visible(df, as_of))
-    a = r.select(F.col("series_id").alias("left_id"), "start_date", "date", F.col("return_pct").alias("left_pct"))
-    b = r.select(F.col("series_id").alias("right_id"), "start_date", "date", F.col("return_pct").alias("right_pct"))
-    return a.join(b, ["start_date", "date"]).filter("left_id < right_id").select("left_id", "right_id", "start_date", "date", "left_pct", "right_pct")
+def matched_intervals(df: DataFrame, as_of: dt.date, pairs: list[tuple[str, str]] | None = None) -> DataFrame:
+    """Returns of pairs of series over intervals with the same start and end.
+
+    Of the given pairs, in the order given; without a list of all pairs, which takes MOST series
+    at most (more raise when this runs): the result grows with their square.
+    """
+    rows = visible(df, as_of)
+    if pairs is not None:
+        if not pairs or any(a == b for a, b in pairs):
+            raise ValueError("pairs are of two different series")
+        named = F.array(*[F.struct(F.lit(a).alias("left_id"), F.lit(b).alias("right_id")) for a, b in pairs])
+        r = returns(rows.filter(F.col("series_id").isin(sorted({s for pair in pairs for s in pair}))))
+        # each return goes to its pairs alone, and the two of a pair meet by pair and interval
+        sides = r.select("series_id", "start_date", "date", "return_pct", F.explode(named).alias("p")).filter((F.col("series_id") == F.col("p.left_id")) | (F.col("series_id") == F.col("p.right_id")))
+        side = lambda name: F.max(F.when(F.col("series_id") == F.col(f"p.{name}"), F.col("return_pct")))
+        met = sides.groupBy(F.col("p.left_id").alias("left_id"), F.col("p.right_id").alias("right_id"), "start_date", "date").agg(side("left_id").alias("left_pct"), side("right_id").alias("right_pct"))
+        return met.filter("left_pct is not null and right_pct is not null")
+    few = rows.agg(F.when(F.count_distinct("series_id") > MOST, F.raise_error(F.lit(f"name the pairs: all pairs are for {MOST} series at most")).cast("boolean")).otherwise(F.lit(True)).alias("few"))
+    # all series of an interval meet once, in a list of at most MOST
+    met = returns(rows.filter(few.scalar())).groupBy("start_date", "date").agg(F.array_sort(F.collect_list(F.struct("series_id", "return_pct"))).alias("r"))
+    met = met.select("start_date", "date", "r", F.posexplode("r").alias("k", "a")).select("start_date", "date", "a", F.explode(F.slice("r", F.col("k") + 2, MOST)).alias("b"))
+    return met.select(F.col("a.series_id").alias("left_id"), F.col("b.series_id").alias("right_id"), "start_date", "date", F.col("a.return_pct").alias("left_pct"), F.col("b.return_pct").alias("right_pct"))
 
 
 def _correlation(a: str, b: str, w):
@@ -83,23 +101,26 @@ def _correlation(a: str, b: str, w):
     return F.when(raw.isNotNull(), F.greatest(F.lit(-1.0), F.least(F.lit(1.0), raw)))  # least and greatest pass over nulls
 
 
-def rolling_correlation(df: DataFrame, as_of: dt.date, window: int = 60, start: dt.date | None = None) -> DataFrame:
+@finite_results
+def rolling_correlation(df: DataFrame, as_of: dt.date, window: int = 60, start: dt.date | None = None, pairs: list[tuple[str, str]] | None = None) -> DataFrame:
     """Sample correlation over the last so many matched intervals; a constant sample is null. The crop to start comes after warming up."""
     if window < 2:
         raise ValueError("window must be 2 or more")
     order = W.partitionBy("left_id", "right_id").orderBy("date")
     w = order.rowsBetween(-(window - 1), 0)
-    rows = matched_intervals(df, as_of).select("left_id", "right_id", "start_date", "date", F.when(F.row_number().over(order) >= window, _correlation("left_pct", "right_pct", w)).alias("correlation"), F.least(F.row_number().over(order), F.lit(window)).cast("long").alias("matched_interval_count"))
+    rows = matched_intervals(df, as_of, pairs).select("left_id", "right_id", "start_date", "date", F.when(F.row_number().over(order) >= window, _correlation("left_pct", "right_pct", w)).alias("correlation"), F.least(F.row_number().over(order), F.lit(window)).cast("long").alias("matched_interval_count"))
     return rows.filter(F.col("date") >= F.lit(start)) if start else rows
 
 
-def correlation_matrix(df: DataFrame, as_of: dt.date, window: int = 250) -> DataFrame:
+@finite_results
+def correlation_matrix(df: DataFrame, as_of: dt.date, window: int = 250, pairs: list[tuple[str, str]] | None = None) -> DataFrame:
     """Correlation of each pair over its last so many matched intervals."""
     latest = F.row_number().over(W.partitionBy("left_id", "right_id").orderBy(F.desc("date")))
-    rows = matched_intervals(df, as_of).withColumn("_k", latest).filter(F.col("_k") <= window)
+    rows = matched_intervals(df, as_of, pairs).withColumn("_k", latest).filter(F.col("_k") <= window)
     return rows.groupBy("left_id", "right_id").agg(_correlation("left_pct", "right_pct", None).alias("correlation"), F.count("*").alias("matched_interval_count"))
 
 
+@finite_results
 def fx_attribution(prices: DataFrame, fx: DataFrame, as_of: dt.date, start: dt.date | None = None) -> DataFrame:
     """The change in converted price from the last joint date at or before a target (a month ago) to the last one: price, rate and interaction terms.
 
@@ -117,6 +138,7 @@ def fx_attribution(prices: DataFrame, fx: DataFrame, as_of: dt.date, start: dt.d
     return ends.select("series_id", F.lit(target).alias("target_date"), F.col("a.date").alias("start_date"), F.col("b.date").alias("end_date"), level.alias("start_pln"), (p1 * f1).alias("end_pln"), *[c.alias(k) for k, c in terms.items()], total.alias("total"), *[share(c).alias(f"{k}_pp") for k, c in terms.items()], share(total).alias("total_pct"), "matched_observation_count")
 
 
+@finite_results
 def fx_variance(prices: DataFrame, fx: DataFrame, as_of: dt.date) -> DataFrame:
     """Variance of log changes of price times rate over intervals that both have: parts, covariance, contributions and shares.
 
@@ -139,6 +161,7 @@ def compatible_rates(series: DataFrame) -> DataFrame:
     return s.join(r, (F.col("s.provenance") == F.col("r.provenance")) & (F.col("s.group") == F.col("r.group"))).select(F.col("s.series_id").alias("series_id"), F.col("r.series_id").alias("fx_id"))
 
 
+@finite_results
 def cross_rate(rates: DataFrame) -> DataFrame:
     """EUR_PLN, EUR_USD and USD_PLN series from rows (date, currency, rate) of euro reference rates, on dates that have both."""
     pair = rates.groupBy("date").agg(F.max(F.when(F.col("currency") == "PLN", F.col("rate"))).alias("pln"), F.max(F.when(F.col("currency") == "USD", F.col("rate"))).alias("usd")).filter("pln is not null and usd is not null")

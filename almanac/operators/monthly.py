@@ -8,8 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.scalars import month_status, pct, window_start
-from .contract import visible
+from ..functions.scalars import finite, month_status, pct, window_start
+from .contract import finite_results, visible
 
 
 def _year() -> Column:
@@ -20,6 +20,7 @@ def _month() -> Column:
     return F.month("date").alias("month")
 
 
+@finite_results
 def monthly_means(rows: DataFrame) -> DataFrame:
     """Mean, number and last value of each year and month that has observations."""
     return rows.groupBy("series_id", _year(), _month()).agg(F.avg("value").alias("mean"), F.count("*").alias("n"), F.max_by("value", "date").alias("last"))
@@ -46,6 +47,7 @@ def _past(means: DataFrame, as_of: dt.date, years: int) -> DataFrame:
     return means.filter(F.col("year").between(window_start(as_of, years), as_of.year - 1))
 
 
+@finite_results
 def profile_of(means: DataFrame, grid: DataFrame, as_of: dt.date, years: int) -> DataFrame:
     stats = _past(means, as_of, years).groupBy("series_id", "month").agg(F.avg("mean").alias("mean"), F.min("mean").alias("minimum"), F.max("mean").alias("maximum"), F.count("mean").alias("year_count"), F.sum("n").alias("observation_count"))
     zero = [F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in ("year_count", "observation_count")]
@@ -58,6 +60,7 @@ def seasonal_profile(df: DataFrame, as_of: dt.date, years: int = 10) -> DataFram
     return profile_of(monthly_means(visible(df, as_of)), _series_months(df), as_of, years)
 
 
+@finite_results
 def current_of(means: DataFrame, profile: DataFrame, as_of: dt.date) -> DataFrame:
     now = means.filter(F.col("year") == as_of.year).select("series_id", "month", F.col("mean").alias("current"), "n")
     out = profile.select("series_id", "month", F.col("mean").alias("base")).join(now, ["series_id", "month"], "left")
@@ -70,6 +73,7 @@ def seasonal_current(df: DataFrame, as_of: dt.date, years: int = 10) -> DataFram
     return current_of(means, profile_of(means, _series_months(df), as_of, years), as_of)
 
 
+@finite_results
 def seasonal_distribution(df: DataFrame, as_of: dt.date, years: int = 10) -> DataFrame:
     """Mean, median and linear quartiles over yearly monthly means of completed years."""
     q = _past(monthly_means(visible(df, as_of)), as_of, years).groupBy("series_id", "month").agg(F.avg("mean").alias("mean"), F.percentile("mean", [0.25, 0.5, 0.75]).alias("q"), F.count("*").alias("year_count"), F.sum("n").alias("observation_count"))
@@ -83,14 +87,16 @@ def year_bases(df: DataFrame, as_of: dt.date) -> DataFrame:
     return rows.groupBy("series_id", _year()).agg(F.min("date").alias("base_date"), F.min_by("value", "date").alias("base_value"))
 
 
+@finite_results
 def normalized_profile(df: DataFrame, as_of: dt.date, years: int = 10) -> DataFrame:
     """The seasonal profile of each year's path from 100 at its first observation. The whole input must be positive."""
     rows = visible(df, as_of, positive=True).withColumn("year", F.year("date"))
     first = F.first("value").over(W.partitionBy("series_id", "year").orderBy("date"))
-    indexed = rows.select("series_id", "date", (F.col("value") / first * 100).alias("value"))
+    indexed = rows.select("series_id", "date", finite(F.col("value") / first * 100, "Year normalization").alias("value"))
     return profile_of(monthly_means(indexed), _series_months(df), as_of, years)
 
 
+@finite_results
 def partial_month_years(df: DataFrame, as_of: dt.date, years: int = 5) -> DataFrame:
     """For the cutoff's year and each of the years before: the mean of the cutoff's month up to its day (or the month's last)."""
     start = window_start(as_of, years)
@@ -102,6 +108,7 @@ def partial_month_years(df: DataFrame, as_of: dt.date, years: int = 5) -> DataFr
     return grid.join(stats, ["series_id", "year"], "left").select("series_id", "year", through.alias("through_date"), "mean", F.coalesce("observation_count", F.lit(0).cast("long")).alias("observation_count"))
 
 
+@finite_results
 def partial_month_summary(df: DataFrame, as_of: dt.date, years: int = 5) -> DataFrame:
     """The cutoff month so far against the equal-year mean of the same days in earlier years."""
     past = F.col("year") < as_of.year
@@ -120,6 +127,7 @@ def recent_years(df: DataFrame, as_of: dt.date) -> DataFrame:
     return _series_months(df).join(wide, ["series_id", "month"], "left")
 
 
+@finite_results
 def recent_year_mean(df: DataFrame, as_of: dt.date) -> DataFrame:
     """The equal-year mean of those five years, the current one included."""
     if as_of.year < 5:
@@ -144,6 +152,7 @@ def _closes(rows: DataFrame) -> DataFrame:
     return rows.groupBy("series_id", F.trunc("date", "MM").alias("month_start")).agg(F.max_by("value", "date").alias("close"), F.max("date").alias("close_date"))
 
 
+@finite_results
 def monthly_returns(df: DataFrame, as_of: dt.date) -> DataFrame:
     """Every calendar month from the first visible to the cutoff's: last observation and the change from the month before, null if either is missing. The whole input must be positive."""
     rows = visible(df, as_of, positive=True)

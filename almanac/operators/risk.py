@@ -8,14 +8,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.scalars import pct
-from .contract import by_series, obs, visible
+from ..functions.scalars import pct, safe_mean
+from .contract import by_series, finite_results, obs, visible
 from .technical import interval_changes
 
 #: One over the tail's share, and the least number of intervals (five of tail mass), by confidence.
 TAILS = {0.95: (20, 100), 0.99: (100, 500)}
 
 
+@finite_results
 def var_es(df: DataFrame, as_of: dt.date, horizon: int = 1, confidence: float = 0.95, direction: str = "buyer") -> DataFrame:
     """Value at risk by rank and expected shortfall with exactly the tail's mass, the boundary loss in part; null with too few intervals.
 
@@ -36,11 +37,13 @@ def var_es(df: DataFrame, as_of: dt.date, horizon: int = 1, confidence: float =
     return out.select("series_id", F.col("n").alias("interval_count"), mass.alias("tail_mass"), enough.alias("available"), F.when(enough, F.col("v")).alias("var"), F.when(enough, F.col("e") / mass).alias("expected_shortfall"))
 
 
+@finite_results
 def exposure(risk: DataFrame, budget: float) -> DataFrame:
     """What a budget may lose at the risk's figures."""
     return risk.select("series_id", (F.col("var") / 100 * budget).alias("var_amount"), (F.col("expected_shortfall") / 100 * budget).alias("es_amount"))
 
 
+@finite_results
 def change_histogram(df: DataFrame, as_of: dt.date, horizon: int = 1) -> DataFrame:
     """At most ten equal bins, as many as the root of the number of changes (rounded up); the last is closed; one bin if all are equal."""
     rows = interval_changes(df, as_of, horizon).filter("change is not null")
@@ -53,10 +56,11 @@ def change_histogram(df: DataFrame, as_of: dt.date, horizon: int = 1) -> DataFra
     return grid.join(counts, ["series_id", "bin"], "left").select("series_id", "bin", edge(F.col("bin")).alias("lower"), edge(F.col("bin") + 1).alias("upper"), F.coalesce("count", F.lit(0).cast("long")).alias("count"))
 
 
+@finite_results
 def change_summary(df: DataFrame, as_of: dt.date, horizon: int = 1) -> DataFrame:
     """Mean and median change, and counts of intervals."""
     rows = interval_changes(df, as_of, horizon)
-    return rows.groupBy("series_id").agg(F.avg("change").alias("mean_change"), F.percentile("change", 0.5).alias("median_change"), F.count("change").alias("valid_intervals"), F.count_if(F.col("change").isNull()).alias("nonpositive_endpoints"))
+    return rows.groupBy("series_id").agg(safe_mean(F.col("change")).alias("mean_change"), F.percentile("change", 0.5).alias("median_change"), F.count("change").alias("valid_intervals"), F.count_if(F.col("change").isNull()).alias("nonpositive_endpoints"))
 
 
 def top_moves(df: DataFrame, as_of: dt.date, horizon: int = 1, k: int = 5) -> DataFrame:

@@ -8,12 +8,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.scalars import pct
-from .contract import visible
+from ..functions.scalars import pct, safe_mean
+from .contract import finite_results, visible
 
 MASK = 0xFFFFFFFF
 LEAST_YEARS = 8
 VALID_SHARE = 0.9
+PARTS = 16  # tasks that share a series' replicates
 
 
 def _years(rows: DataFrame, df: DataFrame, as_of: dt.date, years: int | str) -> DataFrame:
@@ -53,6 +54,7 @@ def seasonality_omissions(df: DataFrame, as_of: dt.date, years: int | str = 10)
     return return_grid(df, as_of, years).groupBy("series_id").agg(*[F.count_if(F.col("state") == k).alias(k) for k in ("ok", "missing_month_close", "missing_previous_month", "nonpositive_month_endpoints")])
 
 
+@finite_results
 def return_seasonality(df: DataFrame, as_of: dt.date, years: int | str = 10) -> DataFrame:
     """For each month over the declared years: mean, median, extremes, share of rises, halves, and the range of means with one year left out."""
     rows = return_grid(df, as_of, years)
@@ -62,10 +64,10 @@ def return_seasonality(df: DataFrame, as_of: dt.date, years: int | str = 10) ->
     rows = rows.withColumn("left_out", left)
     early, late = F.col("year") <= F.col("split"), F.col("year") > F.col("split")
     out = rows.groupBy("series_id", "month").agg(
-        F.avg("change").alias("mean"), F.percentile("change", 0.5).alias("median"), F.count("change").alias("year_count"), F.count_if(F.col("change") > 0).alias("positive_count"),
+        safe_mean(F.col("change")).alias("mean"), F.percentile("change", 0.5).alias("median"), F.count("change").alias("year_count"), F.count_if(F.col("change") > 0).alias("positive_count"),
         F.min("change").alias("minimum"), F.max("change").alias("maximum"),
-        F.avg(F.when(early, F.col("change"))).alias("early_mean"), F.count(F.when(early, F.col("change"))).alias("early_count"),
-        F.avg(F.when(late, F.col("change"))).alias("late_mean"), F.count(F.when(late, F.col("change"))).alias("late_count"),
+        safe_mean(F.when(early, F.col("change"))).alias("early_mean"), F.count(F.when(early, F.col("change"))).alias("early_count"),
+        safe_mean(F.when(late, F.col("change"))).alias("late_mean"), F.count(F.when(late, F.col("change"))).alias("late_count"),
         F.min("left_out").alias("leave_one_out_minimum"), F.max("left_out").alias("leave_one_out_maximum"),
     )
     return out.withColumn("positive_fraction", F.try_divide("positive_count", "year_count"))
@@ -77,14 +79,21 @@ def _times(a: Column, b: Column) -> Column:
     return (low * b + ((high * b).bitwiseAND(F.lit(65535))) * 65536).bitwiseAND(F.lit(MASK))
 
 
+def _let(value: Column, then) -> Column:
+    """then(value), with value computed once however often then names it."""
+    return F.element_at(F.transform(F.array(value), then), 1)
+
+
 def draw(seed: int, k: Column) -> Column:
     """The k-th draw (from 0) of a counter-based generator of 32 bits, in [0, 1)."""
+    first = lambda x: _times(x.bitwiseXOR(F.shiftrightunsigned(x, 15)), x.bitwiseOR(F.lit(1)))
+    second = lambda v: v.bitwiseXOR((v + _times(v.bitwiseXOR(F.shiftrightunsigned(v, 7)), v.bitwiseOR(F.lit(61)))).bitwiseAND(F.lit(MASK)))
+    last = lambda v: v.bitwiseXOR(F.shiftrightunsigned(v, 14)) / 4294967296.0
     state = (F.lit(seed).cast("long") + (k.cast("long") + 1) * 0x6D2B79F5).bitwiseAND(F.lit(MASK))
-    v = _times(state.bitwiseXOR(F.shiftrightunsigned(state, 15)), state.bitwiseOR(F.lit(1)))
-    v = v.bitwiseXOR((v + _times(v.bitwiseXOR(F.shiftrightunsigned(v, 7)), v.bitwiseOR(F.lit(61)))).bitwiseAND(F.lit(MASK)))
-    return v.bitwiseXOR(F.shiftrightunsigned(v, 14)) / 4294967296.0
+    return _let(_let(_let(state, first), second), last)
 
 
+@finite_results
 def bootstrap_interval(df: DataFrame, as_of: dt.date, years: int | str = "all", replicates: int = 1000, seed: int = 20261008) -> DataFrame:
     """2.5 and 97.5 per cent quantiles of each month's mean over resampled years: non-circular blocks of two years, the last cut short.
 
@@ -96,15 +105,20 @@ def bootstrap_interval(df: DataFrame, as_of: dt.date, years: int | str = "all",
     grid = return_grid(df, as_of, years)
     months = grid.groupBy("series_id", "month").agg(F.count("change").alias("year_count"))
     vectors = grid.groupBy("series_id", "years", "first").agg(F.transform(F.array_sort(F.collect_list(F.struct("year", "month", "change"))), lambda r: r["change"]).alias("v")).filter("years >= 2")
-    blocks = F.ceil(F.col("years") / 2).cast("long")
-    rows = vectors.select("series_id", "years", "v", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(replicates - 1).cast("long"))).alias("r"), blocks.alias("blocks"))
-    # the years of a replicate: of block j the start and the one after it
-    rows = rows.repartition("series_id", "r") if replicates > 1 else rows
-    picks = F.transform(F.sequence(F.lit(0), F.col("years") - 1), lambda i: F.floor(draw(seed, F.col("r") * F.col("blocks") + F.floor(i / 2)) * (F.col("years") - 1)).cast("int") + F.pmod(i, F.lit(2)))
-    rows = rows.withColumn("picks", picks).select("series_id", "r", "v", "picks", F.explode(F.sequence(F.lit(1), F.lit(12))).alias("month"))
-    values = F.filter(F.transform("picks", lambda y: F.get("v", y * 12 + F.col("month") - 1)), lambda x: x.isNotNull())
-    rows = rows.withColumn("values", values)
-    means = rows.select("series_id", "month", F.when(F.size("values") > 0, F.aggregate("values", F.lit(0.0), lambda a, x: a + x) / F.size("values")).alias("mean"))
+    # a series' values go to PARTS tasks, each of which has its share of the replicates
+    parts = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(PARTS - 1).cast("long")))
+    rows = vectors.select("series_id", "years", "v", F.ceil(F.col("years") / 2).cast("long").alias("blocks"), parts.alias("part")).repartition("series_id", "part")
+    rows = rows.withColumn("r", F.explode(F.filter(F.sequence(F.col("part"), F.lit(replicates + PARTS - 1).cast("long"), F.lit(PARTS).cast("long")), lambda r: r < replicates)))
+    # the years of a replicate: of each block the start and the one after it, the last block cut short
+    starts = F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda j: F.floor(draw(seed, F.col("r") * F.col("blocks") + j) * (F.col("years") - 1)).cast("int") * 12)
+    picks = F.slice(F.flatten(F.transform(starts, lambda at: F.array(at, at + 12))), 1, F.col("years"))
+    rows = rows.select("series_id", "v", picks.alias("picks"))
+
+    def mean(month):
+        add = lambda a, y: F.when(F.get("v", y + month).isNull(), a).otherwise(F.struct((a["s"] + F.get("v", y + month)).alias("s"), (a["n"] + 1).alias("n")))
+        return F.aggregate("picks", F.struct(F.lit(0.0).alias("s"), F.lit(0).alias("n")), add, lambda a: F.try_divide(a["s"], a["n"]))
+
+    means = rows.select("series_id", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(11)), mean)).alias("m", "mean")).select("series_id", (F.col("m") + 1).alias("month"), "mean")
     q = means.groupBy("series_id", "month").agg(F.percentile("mean", [0.025, 0.975]).alias("q"), F.count("mean").alias("valid"))
     out = months.join(q, ["series_id", "month"], "left")
     enough = F.col("year_count") >= LEAST_YEARS

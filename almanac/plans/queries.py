@@ -91,7 +91,7 @@ def _spread(spark, sf_dir):
 @query("cross_rate", 6)
 def _cross_rate(spark, sf_dir):
     rows = t.fx(spark, sf_dir)
-    usd = rows.select("date", F.lit("USD").alias("currency"), (F.col("value") / 4).alias("rate")).filter(F.dayofmonth("date") % 5 != 0)
+    usd = rows.select("date", F.lit("USD").alias("currency"), (F.col("value") / 4).alias("rate"))
     return market.cross_rate(rows.select("date", F.lit("PLN").alias("currency"), F.col("value").alias("rate")).unionByName(usd))
 
 
@@ -125,7 +125,7 @@ _over(t.signed_prices, "path_breaks", risk.path_breaks, A)
 _over(t.long_prices, "return_grid", lambda df: seasonality.return_grid(df, L, "all").drop("split", "years", "first"), digits=6)
 _over(t.long_prices, "seasonality_omissions", seasonality.seasonality_omissions, L, "all")
 _over(t.long_prices, "return_seasonality", seasonality.return_seasonality, L, 10, digits=6)
-_over(t.long_prices, "bootstrap_interval", seasonality.bootstrap_interval, L, "all", 200, digits=6)
+_over(t.long_prices, "bootstrap_interval", seasonality.bootstrap_interval, L, "all", digits=6)
 _over(t.prices, "walk_forward_rows", forecast.walk_forward_rows, A)
 _over(t.prices, "walk_forward", forecast.walk_forward, A)
 _over(t.prices, "walk_forward_counts", forecast.walk_forward_counts, A)

@@ -157,7 +157,7 @@ def logs(source: str) -> str:
 
 
 q("fx_variance", f"SELECT series_id, n AS paired_intervals, {r('vc', 6)} AS var_commodity, {r('vf', 6)} AS var_fx, {r('cv', 6)} AS covariance, {r('vz', 6)} AS total_variance, {r('cz', 6)} AS commodity_contribution, {r('fz', 6)} AS fx_contribution, {r('CASE WHEN vz > pow(32 * 2.220446049250313e-16 * s, 2) THEN cz / vz * 100 END', 6)} AS commodity_share, {r('CASE WHEN vz > pow(32 * 2.220446049250313e-16 * s, 2) THEN fz / vz * 100 END', 6)} AS fx_share FROM (SELECT a.series_id, count(*) AS n, var_samp(a.c) AS vc, var_samp(b.c) AS vf, covar_samp(a.c, b.c) AS cv, var_samp(a.c + b.c) AS vz, covar_samp(a.c, a.c + b.c) AS cz, covar_samp(b.c, a.c + b.c) AS fz, greatest(100, max(abs(a.c)), max(abs(b.c))) AS s FROM a JOIN b ON a.start_date = b.start_date AND a.date = b.date GROUP BY 1)", "prices", "fx", a=logs("v"), f=f"SELECT * FROM fx WHERE date <= {A}", b=logs("f"))
-q("cross_rate", f"SELECT s AS series_id, date, {r('x', 6)} AS value FROM (SELECT 'EUR_PLN' AS s, date, value AS x FROM fx WHERE day(date) % 5 <> 0 UNION ALL SELECT 'EUR_USD', date, value / 4 FROM fx WHERE day(date) % 5 <> 0 UNION ALL SELECT 'USD_PLN', date, value / (value / 4) FROM fx WHERE day(date) % 5 <> 0)", "fx")
+q("cross_rate", f"SELECT s AS series_id, date, {r('x', 6)} AS value FROM (SELECT 'EUR_PLN' AS s, date, value AS x FROM fx UNION ALL SELECT 'EUR_USD', date, value / 4 FROM fx UNION ALL SELECT 'USD_PLN', date, value / (value / 4) FROM fx)", "fx")
 q("compatible_rates", "SELECT s.n_name AS series_id, r.n_name AS fx_id FROM nation s JOIN nation r ON s.n_regionkey = r.n_regionkey AND s.n_nationkey % 3 <> 0 AND r.n_nationkey % 3 = 0")
 q("scenario", f"SELECT series_id, date, {r('value * rate', 6)} AS pln_per_tonne, {r('value * rate * 100', 6)} AS benchmark_value_pln, CAST(4000 AS DOUBLE) AS baseline_pln_per_tonne, {r('value * rate - 4000', 6)} AS change_pln_per_tonne, {r('(value * rate - 4000) * 100', 6)} AS change_benchmark_value_pln, {r(pct('value * rate', '4000'), 6)} AS change_pct FROM j", "prices", "fx", f=FX, j=JOINT)
 
@@ -222,7 +222,7 @@ def times(a: str, b: str) -> str:
 _boot = {
     **ALL,
     "n": "SELECT series_id, CAST(1999 - first AS BIGINT) AS years, first FROM y WHERE 1999 - first >= 2",
-    "d0": "SELECT series_id, years, first, r, b, (CAST(20261008 AS BIGINT) + (r * ((years + 1) // 2) + b + 1) * 1831565813) & 4294967295 AS s FROM (SELECT series_id, years, first, unnest(range(200)) AS r FROM n), (SELECT unnest(range(60)) AS b) WHERE b < (years + 1) // 2",
+    "d0": "SELECT series_id, years, first, r, b, (CAST(20261008 AS BIGINT) + (r * ((years + 1) // 2) + b + 1) * 1831565813) & 4294967295 AS s FROM (SELECT series_id, years, first, unnest(range(1000)) AS r FROM n), (SELECT unnest(range(60)) AS b) WHERE b < (years + 1) // 2",
     "d1": f"SELECT *, {times('xor(s, s >> 15)', '(s | 1)')} AS v1 FROM d0",
     "d2": f"SELECT *, xor(v1, (v1 + {times('xor(v1, v1 >> 7)', '(v1 | 61)')}) & 4294967295) AS v2 FROM d1",
     "d3": "SELECT *, CAST(floor(xor(v2, v2 >> 14) / CAST(4294967296 AS DOUBLE) * (years - 1)) AS BIGINT) AS start FROM d2",
@@ -231,7 +231,7 @@ _boot = {
     "yc": "SELECT series_id, month, count(change) AS n FROM x GROUP BY 1, 2",
     "qq": "SELECT series_id, month, count(mean) AS valid, quantile_cont(mean, 0.025) AS lo, quantile_cont(mean, 0.975) AS hi FROM mm GROUP BY 1, 2",
 }
-q("bootstrap_interval", f"SELECT yc.series_id, yc.month, yc.n AS year_count, CASE WHEN yc.n >= 8 THEN qq.valid ELSE 0 END AS valid_replicates, {r('CASE WHEN yc.n >= 8 AND qq.valid >= 180 THEN qq.lo END', 6)} AS low, {r('CASE WHEN yc.n >= 8 AND qq.valid >= 180 THEN qq.hi END', 6)} AS high FROM yc LEFT JOIN qq USING (series_id, month)", "long_prices", **_boot)
+q("bootstrap_interval", f"SELECT yc.series_id, yc.month, yc.n AS year_count, CASE WHEN yc.n >= 8 THEN qq.valid ELSE 0 END AS valid_replicates, {r('CASE WHEN yc.n >= 8 AND qq.valid >= 900 THEN qq.lo END', 6)} AS low, {r('CASE WHEN yc.n >= 8 AND qq.valid >= 900 THEN qq.hi END', 6)} AS high FROM yc LEFT JOIN qq USING (series_id, month)", "long_prices", **_boot)
 WALK = {
     "o": f"SELECT series_id, date, value, row_number() OVER {OBS} - 1 AS i, first_value(value) OVER {OBS} AS first, avg(value) OVER {frame(20)} AS mean20, " + ", ".join(f"lead(date, {h}) OVER {OBS} AS d{h}, lead(value, {h}) OVER {OBS} AS x{h}" for h in (1, 5, 20)) + " FROM v",
     "h": " UNION ALL ".join(f"SELECT series_id, {h} AS horizon, date AS origin_date, d{h} AS target_date, x{h} AS actual, value AS naive, value + (value - first) / i * {h} AS drift, mean20 FROM o WHERE i >= 199 AND d{h} IS NOT NULL" for h in (1, 5, 20)),
@@ -267,3 +267,18 @@ q("wide_to_series", f"SELECT CASE series_id WHEN '1-URGENT' THEN 'a' WHEN '2-HIG
 q("excel_serial_date", "SELECT o_orderkey, CASE WHEN k <> 60 THEN CAST(DATE '1899-12-31' + (CASE WHEN k > 60 THEN k - 1 ELSE k END) AS DATE) END AS date_1900, CAST(DATE '1904-01-01' + k AS DATE) AS date_1904 FROM (SELECT o_orderkey, CAST(o_orderkey AS INTEGER) AS k FROM orders)")
 q("csv_import", f"SELECT series_id, date, {r('value')} AS value FROM prices", "prices")
 q("daily_events", "SELECT CAST(date_trunc('day', ts) AS DATE) AS date, event_type, count(*) AS n, CAST(sum(CAST(value AS DECIMAL(18,2))) AS DOUBLE) AS total FROM events GROUP BY 1, 2")
+
+# files: what was written must come back
+_lines = "SELECT series_id, date, value, CAST(row_number() OVER (ORDER BY date, series_id) + 1 AS BIGINT) AS row, datediff('day', DATE '1990-01-01', date) % 53 = 0 AS blank FROM prices"
+q("csv_file", f"SELECT '1-URGENT' AS series_id, date, {r('value')} AS value, row FROM l WHERE series_id = '1-URGENT' AND NOT blank AND date <= {A}", "prices", l=_lines)
+q("csv_file_left_out", f"SELECT CASE WHEN series_id <> '1-URGENT' THEN 'instrument' WHEN date > {A} THEN 'date' ELSE 'missing' END AS reason, row FROM l WHERE series_id <> '1-URGENT' OR blank OR date > {A}", "prices", l=_lines)
+q("csv_file_issues", "SELECT CAST(k AS BIGINT) AS row, CASE day(date) WHEN 5 THEN 'invalid_date' WHEN 7 THEN 'invalid_numeric' ELSE 'nonfinite_value' END AS code FROM (SELECT date, row_number() OVER (ORDER BY date) + 1 AS k FROM prices WHERE series_id = '1-URGENT') WHERE day(date) IN (5, 7, 9)", "prices")
+q("workbook_series", f"SELECT CASE series_id WHEN '1-URGENT' THEN 'a' WHEN '2-HIGH' THEN 'b' ELSE 'c' END AS series_id, date, {r('value')} AS value FROM v WHERE series_id IN ('1-URGENT', '2-HIGH', '5-LOW')", "prices")
+q("ecb_rates", f"SELECT s AS series_id, date, {r('x', 6)} AS value FROM (SELECT 'EUR_PLN' AS s, date, value AS x FROM fx UNION ALL SELECT 'EUR_USD', date, value / 4 FROM fx UNION ALL SELECT 'USD_PLN', date, value / (value / 4) FROM fx)", "fx")
+q("master_import", f"SELECT series_id, date, {r('value')} AS value FROM v WHERE series_id IN ('1-URGENT', '2-HIGH', '5-LOW')", "prices")
+q("fundamentals_file", f"SELECT publication_date, commodity, region, marketing_year, 'metric tonnes' AS unit, {r('ending_stocks')} AS ending_stocks, {r('total_use')} AS total_use FROM vintages", "vintages")
+_both = "SELECT coalesce(n.date, o.date) AS date, o.value AS old_value, n.value AS new_value FROM older o FULL JOIN newer n ON o.date = n.date"
+q("store_series", f"SELECT 'ALL' AS series_id, date, {r('coalesce(new_value, old_value)')} AS value FROM b", "older", "newer", b=_both)
+q("store_revisions", f"SELECT 'ALL' AS series_id, date, CAST(NULL AS DOUBLE) AS old_value, {r('value')} AS new_value, 0 AS import FROM older UNION ALL SELECT 'ALL', date, {r('old_value')}, {r('new_value')}, 1 FROM b WHERE new_value IS NOT NULL AND new_value IS DISTINCT FROM old_value", "older", "newer", b=_both)
+q("store_imports", "SELECT 'ALL' AS series_id, 0 AS import, count(*) AS observations, count(*) AS inserted, CAST(0 AS BIGINT) AS revised, CAST(0 AS BIGINT) AS unchanged FROM older UNION ALL SELECT 'ALL', 1, count(new_value), count(*) FILTER (WHERE new_value IS NOT NULL AND old_value IS NULL), count(*) FILTER (WHERE new_value <> old_value), count(*) FILTER (WHERE new_value = old_value) FROM b", "older", "newer", b=_both)
+q("named_pairs", f"SELECT a.series_id AS left_id, b.series_id AS right_id, a.start_date, a.date, {r('a.p', 6)} AS left_pct, {r('b.p', 6)} AS right_pct FROM rr a JOIN rr b ON a.start_date = b.start_date AND a.date = b.date WHERE (a.series_id = '2-HIGH' AND b.series_id = '1-URGENT') OR (a.series_id = '1-URGENT' AND b.series_id = '5-LOW')", "prices", rr=PAIRS["rr"])

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 
 def queries() -> dict:
+    from .plans import files  # noqa: F401  registers its queries
     from .plans.queries import QUERIES
 
     return dict(QUERIES)

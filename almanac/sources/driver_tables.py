@@ -9,13 +9,21 @@ import datetime as dt
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 AS_OF = dt.date(2001, 5, 17)
 AS_OF_LONG = dt.date(1999, 3, 10)
 
 
+_SCHEMAS: dict[str, StructType] = {}  # of each table's path; these tables don't change while they are read
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table of the star schema; its schema is read from the file once, as that is a job of its own."""
+    path = f"{sf_dir}/{name}.parquet"
+    if path not in _SCHEMAS:
+        _SCHEMAS[path] = spark.read.parquet(path).schema
+    return spark.read.schema(_SCHEMAS[path]).parquet(path)
 
 
 def prices(spark: SparkSession, sf_dir: str) -> DataFrame:

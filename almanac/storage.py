@@ -93,18 +93,15 @@ def read_text(spark: SparkSession, path: str) -> str:
         stream.close()
 
 
-def write_text(spark: SparkSession, path: str, text: str, overwrite: bool = False) -> None:
-    """Writes a small file; without ``overwrite`` one that is there already is an error."""
+def write_bytes(spark: SparkSession, path: str, data: bytes) -> None:
+    """Writes a small file; one that is there already is an error."""
     fs, where = _at(spark, path)
-    stream = fs.create(where, overwrite)
+    stream = fs.create(where, False)
     try:
-        stream.write(bytearray(text.encode()))
+        stream.write(bytearray(data))
     finally:
         stream.close()
 
 
-def rename(spark: SparkSession, old: str, new: str) -> None:
-    """Moves a file to a name that nothing has yet; raises OSError if that fails."""
-    fs, where = _at(spark, old)
-    if not fs.rename(where, _at(spark, new)[1]):
-        raise OSError(f"{old} could not become {new}")
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    write_bytes(spark, path, text.encode())

@@ -351,3 +351,87 @@ def test_plans_have_no_row_python_and_partitioned_windows(spark):
     for name in ("technical", "volatility", "seasonal_profile", "rolling_correlation", "var_es", "fundamental_revisions"):
         plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
         assert "BatchEvalPython" not in plan and "ArrowEvalPython" not in plan
+
+
+# ---------------------------------------------------------------- numeric extremes
+
+
+def _overflows(df):
+    with pytest.raises(Exception, match="numeric range"):
+        df.collect()
+
+
+def test_overflow_is_never_passed_on(spark):
+    rows = lambda *pairs: spark.createDataFrame([("w", dt.date.fromisoformat(d), v) for d, v in pairs], "series_id string, date date, value double")
+    as_of = dt.date(2026, 1, 15)
+    same = rows(("2025-01-01", 1e308), ("2025-01-02", 1e308))
+    _overflows(monthly.monthly_means(contract.visible(same, as_of)))
+    _overflows(monthly.seasonal_profile(rows(("2024-01-01", 1e308), ("2025-01-01", 1e308)), as_of, 5))
+    _overflows(monthly.seasonal_current(rows(("2025-01-01", -1e308), ("2026-01-01", 1e308)), as_of, 5))
+    _overflows(monthly.partial_month_summary(rows(("2024-01-01", 1e308), ("2025-01-01", 1e308)), as_of, 2))
+    _overflows(monthly.recent_year_mean(rows(("2022-01-01", 1e308), ("2026-01-01", 1e308)), as_of))
+    _overflows(monthly.monthly_returns(rows(("2025-01-01", 1e-308), ("2025-02-01", 1e308)), as_of))
+    _overflows(monthly.normalized_profile(rows(("2025-01-01", 1e-308), ("2025-02-01", 1e308)), as_of, 1))
+    _overflows(technical.technical(rows(*[(f"20{k:02d}-01-01", (-1) ** k * 1e308) for k in range(20)]), as_of))
+    _overflows(technical.snapshot_changes(rows(("2024-12-31", -1.7e308), ("2025-01-01", 1.7e308)), as_of))
+    _overflows(technical.rsi(rows(*[(f"20{k:02d}-01-01", (-1) ** k * 1.7e308) for k in range(20)]), as_of))
+    _overflows(technical.interval_changes(rows(("2024-12-31", 1e-300), ("2025-01-01", 1e300)), as_of))
+    fx = rows(("2025-01-01", 10.0), ("2025-01-02", 10.0))
+    _overflows(market.fx_convert(same, fx, as_of))
+    _overflows(market.fx_attribution(same, fx, as_of))
+    one = spark.range(1)
+    _overflows(one.select(*scalars.scenario(F.lit(1.7e308), F.lit(4.0), F.lit(1.0), F.lit(1.0), F.lit(1.0)).values()))
+
+
+def test_means_and_roots_of_extremes(spark):
+    mean = lambda *v: spark.createDataFrame([(x,) for x in v], "v double").agg(scalars.safe_mean(F.col("v")), scalars.root_mean_square(F.col("v"))).first()
+    assert mean(1e308, 1e308)[0] == 1e308 and mean(1e308, -1e308)[0] == 0 and mean(1.7e308, 1.5e308, None)[0] == pytest.approx(1.6e308)
+    assert mean(3.0, 4.0) == (3.5, math.sqrt(12.5)) and mean(5e-324, 5e-324)[0] == 5e-324 and mean()[0] is None
+    assert mean(3e200, 4e200)[1] == pytest.approx(math.sqrt(12.5) * 1e200) and mean(3e-200, 4e-200)[1] == pytest.approx(math.sqrt(12.5) * 1e-200)
+    assert mean(0.0, 0.0)[1] == 0
+
+
+def test_errors_of_extremes(spark):
+    rows = spark.createDataFrame([("w", dt.date(2020, 1, 1) + dt.timedelta(k), 1e200 if k % 2 else 2e200) for k in range(60)], "series_id string, date date, value double")
+    got = {r["model"]: r for r in forecast.walk_forward(rows, dt.date(2021, 1, 1), min_training=20, horizons=(1,)).collect()}
+    assert got["naive"]["mae"] == pytest.approx(1e200) and got["naive"]["rmse"] == pytest.approx(1e200) and got["naive"]["rmse_skill"] == 0
+
+
+def test_relative_strength_of_a_long_series(spark):
+    """The listed recurrence against a plain loop, over several blocks."""
+    import random
+
+    rng, n = random.Random(5), 14
+    values = [100.0]
+    for _ in range(1300):
+        values.append(values[-1] + rng.choice([-2.0, -0.5, 0.0, 1.0, 1.5]))
+    rows = spark.createDataFrame([("w", dt.date(2000, 1, 1) + dt.timedelta(k), v) for k, v in enumerate(values)] + [("short", dt.date(2000, 1, 1), 1.0)] + [("flat", dt.date(2000, 1, 1) + dt.timedelta(k), 1.0) for k in range(20)], "series_id string, date date, value double")
+    gain = loss = 0.0
+    expected = [None] * n
+    changes = [b - a for a, b in zip(values, values[1:], strict=False)]
+    for k, c in enumerate(changes, 1):
+        up, down = max(c, 0), max(-c, 0)
+        if k <= n:
+            gain, loss = gain + up / n, loss + down / n
+        else:
+            gain, loss = (gain * (n - 1) + up) / n, (loss * (n - 1) + down) / n
+        if k >= n:
+            expected.append(100 - 100 / (1 + gain / loss))
+    got = {s: [r["rsi14"] for r in technical.rsi(rows, dt.date(2010, 1, 1)).filter(F.col("series_id") == s).orderBy("date").collect()] for s in ("w", "short", "flat")}
+    assert got["w"][:n] == expected[:n] and got["w"][n:] == pytest.approx(expected[n:]) and got["short"] == [None] and got["flat"] == [None] * n + [50.0] * 6
+
+
+def test_pairs_on_request(spark):
+    rows = spark.createDataFrame([(s, dt.date(2024, 1, 1) + dt.timedelta(k), float(k + 1 + j)) for j, s in enumerate("abc") for k in range(5)], "series_id string, date date, value double")
+    as_of = dt.date(2024, 2, 1)
+    every = {(r["left_id"], r["right_id"], r["date"]): (r["left_pct"], r["right_pct"]) for r in market.matched_intervals(rows, as_of).collect()}
+    assert len(every) == 12
+    some = market.matched_intervals(rows, as_of, [("c", "a"), ("a", "b"), ("a", "none")]).collect()
+    assert len(some) == 8 and all((r["left_pct"], r["right_pct"]) == (every[("a", "c", r["date"])][::-1] if r["left_id"] == "c" else every[("a", "b", r["date"])]) for r in some)
+    assert market.correlation_matrix(rows, as_of, 3, pairs=[("c", "a")]).count() == 1
+    many = spark.range(13).crossJoin(spark.range(3).withColumnRenamed("id", "k")).select(F.col("id").cast("string").alias("series_id"), F.date_add(F.lit(dt.date(2024, 1, 1)), F.col("k").cast("int")).alias("date"), (F.col("k") + 1.0).alias("value"))
+    with pytest.raises(Exception, match="name the pairs"):
+        market.matched_intervals(many, as_of).collect()
+    for bad in ([], [("a", "a")]):
+        with pytest.raises(ValueError):
+            market.matched_intervals(rows, as_of, bad)
