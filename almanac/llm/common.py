@@ -1,12 +1,10 @@
-"""Shared helpers: the shared folder, text buffers as numpy arrays, word hashes and count sketches."""
+"""Shared helpers: tables in the shared folder, text buffers as numpy arrays, word hashes and count sketches."""
 
 from __future__ import annotations
 
 import ctypes
 import functools
 import gc
-import tempfile
-import uuid
 import zlib
 
 import numpy as np
@@ -14,6 +12,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..storage import clean, fresh, shared_dir, written  # noqa: F401  for the other modules
+
 #: The white space of the word rule, bytes 0x20 and 0x09 to 0x0D.
 SPACES = b" \t\n\x0b\x0c\r"
 #: The same rule as a Java regular expression.
@@ -33,42 +33,6 @@ _POWERS: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 # ---------------------------------------------------------------- storage
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir, which driver and executors share.
-
-    Where it is unset, a session in one process gets a temporary folder; on a cluster that would
-    be another folder on every machine, so there it is an error.
-    """
-    sc = spark.sparkContext
-    where = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
-    if not where:
-        if sc.master.split("[")[0] != "local":
-            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        where = "file://" + tempfile.mkdtemp(prefix="almanac-")
-        sc.setCheckpointDir(where)
-    return where.rstrip("/")
-
-
-_WRITTEN: list[str] = []
-
-
-def written() -> int:
-    """How many tables stored() has written in this process that clean() has not deleted: a mark to clean from."""
-    return len(_WRITTEN)
-
-
-def clean(spark: SparkSession, since: int = 0, but_last: bool = False) -> int:
-    """Deletes the tables that stored() has written in this process (``since`` a mark of written(); ``but_last``: the last one stays), once no result needs them any more; returns how many."""
-    path_of = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    gone = _WRITTEN[since : len(_WRITTEN) - but_last]
-    del _WRITTEN[since : len(_WRITTEN) - but_last]
-    for name in gone:
-        path = path_of(name)
-        path.getFileSystem(conf).delete(path, True)
-    return len(gone)
-
-
 def stored(df: DataFrame, rows: int | None = None) -> DataFrame:
     """Writes a table to the shared folder and reads it again: cuts lineage and survives lost executors.
 
@@ -79,8 +43,7 @@ def stored(df: DataFrame, rows: int | None = None) -> DataFrame:
     spark = df.sparkSession
     if rows is not None and (tasks := rows // 200_000 + 1) < partitions(spark):
         df = df.coalesce(tasks)
-    path = f"{shared_dir(spark)}/almanac-{uuid.uuid4().hex}"
-    _WRITTEN.append(path)
+    path = fresh(spark)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

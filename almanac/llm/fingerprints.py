@@ -6,9 +6,11 @@ a long paragraph leaves most of it alike. A leaf is the hash of such a run. A pa
 its leaves, a section its paragraphs, the root its sections. Equal roots mean equal texts; where
 roots differ, only branches that differ need to be followed to find the edits.
 
-The fingerprint is the tree in one string: the root (32 hex digits) and ``:``, then the leaves
-(8 hex digits each), with ``.`` between paragraphs and ``/`` between sections. Likeness and edits
-are found from two fingerprints alone.
+The fingerprint is the tree in one string: the root (32 hex digits), then the leaves (8 hex digits
+each, ``.`` between paragraphs and ``/`` between sections), then the inner nodes (8 hex digits
+each: a section, then its paragraphs, ``/`` between sections), parted by ``:``. Likeness compares
+leaves; edits are found by going down from two roots, from section to paragraph, into branches
+that differ alone.
 
 Neighbours in order of doc_id come from a range partitioning whose bounds are quantiles of the
 ids: each partition is sorted and streamed, so the next document is the next row; only the last
@@ -30,6 +32,7 @@ from pyspark.sql import functions as F
 from .common import documents, lean, partitions
 
 _BLANK = re.compile(r"\n(?:[ \t\r]*\n)+")
+_EDITS = pa.list_(pa.struct([("section", pa.int32()), ("paragraph", pa.int32())]))
 _RUN = re.compile(r"(?:[^ .!?]* ){0,7}[^ .!?]*(?:[.!?]+ *| +|\Z)")
 
 
@@ -49,23 +52,31 @@ def tree(text: str) -> list[list[list[str]]]:
 
 def fingerprint(text: str) -> str:
     """The tree of a text as a string; the empty text has a root and no leaves."""
-    hash_, parts, roots = xxhash.xxh3_64_intdigest, [], []
+    hash_, leaves, inner, roots = xxhash.xxh3_64_intdigest, [], [], []
     for section in tree(text):
         own, branches = [], []
         for paragraph in section:
-            leaves = [hash_(run) for run in paragraph]
-            branches.append(xxhash.xxh3_128_digest(repr(leaves)))
-            own.append("".join([f"{x >> 32:08x}" for x in leaves]))
-        roots.append(xxhash.xxh3_128_digest(b"".join(branches)))
-        parts.append(".".join(own))
-    return hashlib.blake2b(b"".join(roots), digest_size=16).hexdigest() + ":" + "/".join(parts)
+            runs = [hash_(run) for run in paragraph]
+            branches.append(xxhash.xxh3_128_digest(repr(runs)))
+            own.append("".join([f"{x >> 32:08x}" for x in runs]))
+        root = xxhash.xxh3_128_digest(b"".join(branches))
+        roots.append(root)
+        leaves.append(".".join(own))
+        inner.append(root[:4].hex() + "".join([x[:4].hex() for x in branches]))
+    return f"{hashlib.blake2b(b''.join(roots), digest_size=16).hexdigest()}:{'/'.join(leaves)}:{'/'.join(inner)}"
 
 
 def _leaves(print_: str) -> list[str]:
-    body = print_[33:].replace("/", "").replace(".", "")
+    body = print_[33 : print_.index(":", 33)].replace("/", "").replace(".", "")
     return [body[k : k + 8] for k in range(0, len(body), 8)]
 
 
+def _inner(print_: str) -> list[tuple[str, list[str]]]:
+    """Sections with their paragraphs."""
+    parts = [x for x in print_[print_.index(":", 33) + 1 :].split("/") if x]
+    return [(x[:8], [x[k : k + 8] for k in range(8, len(x), 8)]) for x in parts]
+
+
 def likeness(a: str, b: str) -> float:
     """From two fingerprints: leaves in common over all leaves, counted with their number (0 to 1). Equal roots give 1."""
     if a[:32] == b[:32]:
@@ -75,27 +86,32 @@ def likeness(a: str, b: str) -> float:
     return common / max(1, sum(x.values()) + sum(y.values()) - common)
 
 
-def differing(a: str, b: str) -> list[tuple[int, int]]:
-    """Where texts differ: (section, paragraph) of the second, found by following branches that differ.
+def _unmatched(old: list[str], new: list[str]) -> tuple[list[int], list[int]]:
+    """Places in old and new whose nodes differ: common ones at the front, then at the end, then one for one among the others are matched."""
+    lo, top = 0, min(len(old), len(new))
+    while lo < top and old[lo] == new[lo]:
+        lo += 1
+    hi = 0
+    while hi < top - lo and old[-1 - hi] == new[-1 - hi]:
+        hi += 1
+    have, gone, left = Counter(old[lo : len(old) - hi]), [], []
+    for places, nodes, out in ((range(lo, len(new) - hi), new, left), (range(lo, len(old) - hi), old, gone)):
+        for k in places:
+            matched = (have[nodes[k]] > 0) == (out is left)  # of old nodes those stay that no new one took
+            have[nodes[k]] -= have[nodes[k]] > 0
+            if not matched:
+                out.append(k)
+    return gone, left
 
-    Equal sections, then equal paragraphs within the others, are matched in order and left out.
-    """
+
+def differing(a: str, b: str) -> list[tuple[int, int]]:
+    """Where texts differ: (section, paragraph) of the second that the first has not, found by going down branches that differ alone."""
     if a[:32] == b[:32]:
         return []
-    old = a[33:].split("/")
-    sections, have = b[33:].split("/"), Counter(old)
-    left = Counter(p for s in old for p in s.split("."))
-    out = []
-    for k, s in enumerate(sections):
-        if have[s] > 0:
-            have[s] -= 1
-            continue
-        for j, p in enumerate(s.split(".")):
-            if left[p] > 0:
-                left[p] -= 1
-            else:
-                out.append((k, j))
-    return out
+    old, new = _inner(a), _inner(b)
+    gone, left = _unmatched([x for x, _ in old], [x for x, _ in new])
+    before, after = [p for k in gone for p in old[k][1]], [(k, j, p) for k in left for j, p in enumerate(new[k][1])]
+    return [after[k][:2] for k in _unmatched(before, [p for _, _, p in after])[1]]
 
 
 def _count(bounds, column, test):
@@ -130,7 +146,8 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     The edited text's last quarter (rounded down, in code points) is replaced by as many first
     code points of the next document in order of doc_id, or all if it has fewer; the last
     document takes the first one's. Returns doc_id, n_chars, edited_sha256, fingerprint,
-    edited_fingerprint, near_edited and near_next. A null text counts as empty. Rows of one
+    edited_fingerprint, near_edited, near_next and edits, the places (section, paragraph) of the
+    edited text that the text has not. A null text counts as empty. Rows of one
     doc_id are in order of a hash of their texts, then of the texts; rows with null ids come
     first. One document alone is its own next. Other columns are ignored; an empty table gives
     an empty result.
@@ -147,7 +164,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     both = rows.select("part", F.lit(False).alias("last"), "doc_id", "tie", "text").unionByName(heads, allowMissingColumns=True)
     # a task for each part; those of null ids, which are below 0, go along with others
     dealt = both.repartitionById(n, F.pmod("part", F.lit(n))).sortWithinPartitions("part", "last", "doc_id", "tie", "text")
-    names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
+    names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "edits"]
 
     def run(batches):
         before = None  # part, doc_id, text, fingerprint
@@ -160,12 +177,13 @@ def fingerprints(docs: DataFrame) -> DataFrame:
                     k = len(t) // 4
                     edited = t[: len(t) - k] + text[:k]
                     e = fingerprint(edited)
-                    out.append((own, len(t), hashlib.sha256(edited.encode()).hexdigest(), p, e, likeness(p, e), likeness(p, print_)))
+                    out.append((own, len(t), hashlib.sha256(edited.encode()).hexdigest(), p, e, likeness(p, e), likeness(p, print_), [{"section": k, "paragraph": j} for k, j in differing(p, e)]))
                 before = None if last else (doc, text, print_)  # the part's end
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True) if out else [[]] * 7, (batch["doc_id"].type, pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()), strict=True)], names)
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True) if out else [[]] * 8, (batch["doc_id"].type, pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64(), _EDITS), strict=True)], names)
 
-    return dealt.select("last", "doc_id", "text").mapInArrow(lean(run), f"doc_id {kind}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+    return dealt.select("last", "doc_id", "text").mapInArrow(lean(run), f"doc_id {kind}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, edits array<struct<section:int,paragraph:int>>")
 
 
 def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fingerprints(documents(spark, sf_dir))
+    out = fingerprints(documents(spark, sf_dir))
+    return out.withColumn("n_edits", F.size("edits").cast("long")).drop("edits")

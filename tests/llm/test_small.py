@@ -239,6 +239,7 @@ def test_fingerprints(spark, docs):
         r = got[k]
         assert (r["n_chars"], r["edited_sha256"]) == (len(t), hashlib.sha256(edited.encode()).hexdigest())
         assert (r["fingerprint"], r["edited_fingerprint"]) == (fingerprints.fingerprint(t), fingerprints.fingerprint(edited))
+        assert [tuple(x) for x in r["edits"]] == fingerprints.differing(r["fingerprint"], r["edited_fingerprint"])
         assert 0 <= r["near_next"] <= 1 and 0 <= r["near_edited"] <= 1 and "".join(x for s in fingerprints.tree(t) for p in s for x in p) == t
     assert got[0]["fingerprint"] == got[3]["fingerprint"] and got[1]["near_next"] == 1
     assert fingerprints.fingerprints(docs([])).count() == 0
@@ -272,12 +273,14 @@ def test_fingerprint_of_a_plain_tree():
     tree = fingerprints.tree(text)
     assert ["".join(r for p in s for r in p) for s in tree] == ["".join(r for p in s for r in p) for s in runs]
     assert [["".join(p) for p in s] for s in tree] == plain_tree(text)
-    roots, shown = [], []
+    roots, shown, inner = [], [], []
     for section in tree:
         leaves = [[xxhash.xxh3_64_intdigest(r) for r in p] for p in section]
-        roots.append(xxhash.xxh3_128_digest(b"".join(xxhash.xxh3_128_digest(repr(p)) for p in leaves)))
+        paragraphs = [xxhash.xxh3_128_digest(repr(p)) for p in leaves]
+        roots.append(xxhash.xxh3_128_digest(b"".join(paragraphs)))
+        inner.append("".join(x.hex()[:8] for x in [roots[-1], *paragraphs]))
         shown.append(".".join("".join(f"{x:016x}"[:8] for x in p) for p in leaves))
-    assert fingerprints.fingerprint(text) == hashlib.blake2b(b"".join(roots), digest_size=16).hexdigest() + ":" + "/".join(shown)
+    assert fingerprints.fingerprint(text) == hashlib.blake2b(b"".join(roots), digest_size=16).hexdigest() + ":" + "/".join(shown) + ":" + "/".join(inner)
     rng = np.random.default_rng(11)
     for _ in range(200):
         a, b = ("".join(rng.choice(["one ", "two. ", "three\n", "four\n\n", "five! "], rng.integers(0, 12))) for _ in range(2))
@@ -295,6 +298,19 @@ def test_differing_branches():
     a, b = "one two.\nthree four.\n\nfive six.\nseven.", "one two.\nthree FOUR.\n\nfive six.\nseven."
     fa, fb = fingerprints.fingerprint(a), fingerprints.fingerprint(b)
     assert fingerprints.differing(fa, fb) == [(0, 1)] and fingerprints.differing(fa, fa) == [] and 0 < fingerprints.likeness(fa, fb) < 1
+    rng = np.random.default_rng(14)
+    paragraphs = lambda t: [["".join(p) for p in s] for s in fingerprints.tree(t)]
+    for _ in range(200):
+        a, b = ("".join(rng.choice(["one\n", "two.\n", "three\n\n", "four\n", "five\n\n"], rng.integers(0, 10))) for _ in range(2))
+        x, y = paragraphs(a), paragraphs(b)
+        new = [(k, j) for k, s in enumerate(y) if s not in x for j, p in enumerate(s) if not any(p in t for t in x)]
+        got = fingerprints.differing(fingerprints.fingerprint(a), fingerprints.fingerprint(b))
+        # a paragraph that the other text has nowhere is always found, and nothing that stands in an equal section at the same place
+        assert set(new) <= set(got) and all(k >= len(x) or x[k] != y[k] or x[: k + 1] != y[: k + 1] for k, _ in got)
+        assert (got == []) or a != b
+    grown = "".join(f"paragraph {k}\n" + "\n" * (k % 3 == 0) for k in range(60))
+    cut = grown.replace("paragraph 31", "paragraph thirty-one")
+    assert [paragraphs(cut)[k][j] for k, j in fingerprints.differing(fingerprints.fingerprint(grown), fingerprints.fingerprint(cut))] == ["paragraph thirty-one\n"]
 
 
 # ---------------------------------------------------------------- op 5
