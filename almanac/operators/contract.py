@@ -30,6 +30,9 @@ def obs():
 #: Checks in order: code and message.
 CODES = {
     "empty_data": "The series has no rows.",
+    "duplicate_columns": "Column names must be unique.",
+    "invalid_date_type": "Exactly one date column of dates is needed.",
+    "invalid_value_type": "Exactly one value column of numbers of up to 64 bits is needed.",
     "missing_date": "The date is missing.",
     "non_daily_date": "The date has a time of day.",
     "duplicate_date": "The date occurs more than once.",
@@ -105,17 +108,45 @@ def cutoff_counts(df: DataFrame, as_of: dt.date) -> DataFrame:
     return df.groupBy("series_id").agg(F.count_if(F.col("date") <= F.lit(cutoff(as_of))).alias("visible"), F.count_if(F.col("date") > F.lit(as_of)).alias("excluded_future_observations"))
 
 
+def schema_problems(df: DataFrame) -> list[str]:
+    """Codes of what is wrong with the columns of df, before any row is looked at. (Timestamps have no zone of their own here, so a zone can't be wrong.)"""
+    names, kinds = [f.name for f in df.schema], {f.name: f.dataType for f in df.schema}
+    out = ["duplicate_columns"] if len(set(names)) != len(names) else []
+    if names.count("date") != 1 or kinds["date"].simpleString() not in ("date", "timestamp", "timestamp_ntz"):
+        out.append("invalid_date_type")
+    if names.count("value") != 1 or kinds["value"].simpleString().partition("(")[0] not in ("tinyint", "smallint", "int", "bigint", "float", "double", "decimal"):
+        out.append("invalid_value_type")
+    return out
+
+
 def quality_report(df: DataFrame, row: str = "row", bounded: bool = False) -> DataFrame:
     """Every problem of every row of df (series_id, date, value and a row label): series_id, row, code, message; also of rows after any cutoff.
 
     All members of a duplicated date are reported. Null, non-finite and timed rows are each found.
+    What is wrong with columns is reported without a row, and then such a column's rows are not
+    looked at; with repeated names no row is.
     """
+    message = lambda code: F.element_at(F.create_map(*[F.lit(x) for kv in CODES.items() for x in kv]), code)
+    wrong = schema_problems(df)
+    if not wrong:
+        return _row_problems(df, row, bounded).withColumn("message", message(F.col("code")))
+    rows = None
+    if "duplicate_columns" not in wrong and {"date", "value", "series_id", row} <= set(df.columns):
+        cast = [F.current_date().alias(c) if c == "date" and "invalid_date_type" in wrong else F.lit(0.0).alias(c) if c == "value" and "invalid_value_type" in wrong else F.col(c) for c in df.columns]
+        bare = _row_problems(df.select(*cast), row, bounded)
+        rows = bare.filter("code <> 'duplicate_date'") if "invalid_date_type" in wrong else bare
+        rows = rows.select(F.col("series_id").cast("string"), F.col("row").cast("long"), "code")
+    spark = df.sparkSession
+    out = spark.createDataFrame([(None, None, c) for c in wrong], "series_id string, row long, code string")
+    out = out if rows is None else out.union(rows)
+    return out.withColumn("message", message(F.col("code")))
+
+
+def _row_problems(df: DataFrame, row: str, bounded: bool) -> DataFrame:
     df = df.withColumn("_dup", F.count("*").over(W.partitionBy("series_id", "date")) > 1)
     checks = {"missing_date": F.col("date").isNull()}
     if dict(df.dtypes)["date"].startswith("timestamp"):
         checks["non_daily_date"] = F.col("date") != F.date_trunc("day", "date")
     checks |= {"duplicate_date": F.col("_dup") & F.col("date").isNotNull()} | _value_checks(False, bounded)
     marks = F.array(*[F.when(F.coalesce(c, F.lit(False)), F.lit(k)) for k, c in checks.items()])
-    out = df.select("series_id", F.col(row).alias("row"), F.explode(F.filter(marks, lambda c: c.isNotNull())).alias("code"))
-    message = F.element_at(F.create_map(*[F.lit(x) for kv in CODES.items() for x in kv]), F.col("code"))
-    return out.withColumn("message", message)
+    return df.select("series_id", F.col(row).alias("row"), F.explode(F.filter(marks, lambda c: c.isNotNull())).alias("code"))

@@ -435,3 +435,14 @@ def test_pairs_on_request(spark):
     for bad in ([], [("a", "a")]):
         with pytest.raises(ValueError):
             market.matched_intervals(rows, as_of, bad)
+
+
+def test_quality_report_of_columns(spark):
+    codes = lambda df: sorted((r["code"], r["row"]) for r in contract.quality_report(df).collect())
+    text = spark.createDataFrame([("w", "2024-01-01", 1.0, 1), ("w", "2024-01-01", None, 2)], "series_id string, date string, value double, row long")
+    assert codes(text) == [("invalid_date_type", None), ("missing_value", 2)]
+    flag = spark.createDataFrame([("w", dt.date(2024, 1, 1), True, 1), ("w", None, False, 2)], "series_id string, date date, value boolean, row long")
+    assert codes(flag) == [("invalid_value_type", None), ("missing_date", 2)]
+    twice = spark.createDataFrame([("w", dt.date(2024, 1, 1), 1.0, 1)], "series_id string, date date, value double, row long").selectExpr("*", "value")
+    assert codes(twice) == [("duplicate_columns", None), ("invalid_value_type", None)]
+    assert codes(spark.createDataFrame([(1,)], "row long")) == [("invalid_date_type", None), ("invalid_value_type", None)]
