@@ -158,9 +158,9 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     rows = _place(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")), n)
     # the first row of each part, sent to the filled part before it; the lowest part's goes to the highest
     heads = rows.groupBy("part").agg(F.min(F.struct("doc_id", "tie", "text")).alias("head"))
-    order = W.orderBy("part")  # over two rows for each partition at most
+    order = W.orderBy("part")  # two rows of two numbers for each partition at most, which are sent to the heads and not the other way round
     to = rows.groupBy("part").agg(F.count("*").alias("n")).select("part", F.coalesce(F.lag("part").over(order), F.max("part").over(order.rowsBetween(W.unboundedPreceding, W.unboundedFollowing))).alias("to"))
-    heads = heads.join(to, "part").select(F.col("to").alias("part"), F.lit(True).alias("last"), F.col("head.text").alias("text"))
+    heads = heads.join(F.broadcast(to), "part").select(F.col("to").alias("part"), F.lit(True).alias("last"), F.col("head.text").alias("text"))
     both = rows.select("part", F.lit(False).alias("last"), "doc_id", "tie", "text").unionByName(heads, allowMissingColumns=True)
     # a task for each part; those of null ids, which are below 0, go along with others
     dealt = both.repartitionById(n, F.pmod("part", F.lit(n))).sortWithinPartitions("part", "last", "doc_id", "tie", "text")
