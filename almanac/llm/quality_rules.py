@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from .common import SPACE_RX, documents, reserve, stored
 
-WINDOW = 8
+WINDOW = 8  # words; hashes of windows double their width, so a power of two
 #: What is measured against its group: whether low values are bad too, and the least spread that counts.
 RULES = {
     "symbols_per_word": (False, 0.02),
@@ -40,23 +40,15 @@ SLACK = 0.5  # short texts' statistics vary: this over the root of n_words is al
 GAMMA = 1.02  # ratio of a bucket's bounds
 
 
-def _most(hashes: Column) -> Column:
-    """How often the most frequent element occurs: the longest run once sorted."""
-    run = F.struct(F.lit(0).cast("long").alias("best"), F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("last"))
-
-    def step(acc, x):
-        n = F.when(x == acc["last"], acc["n"] + 1).otherwise(F.lit(1).cast("long"))
-        return F.struct(F.greatest(acc["best"], n).alias("best"), n.alias("n"), x.alias("last"))
-
-    return F.aggregate(F.array_sort(hashes), run, step, lambda acc: acc["best"])
-
-
 def base_statistics(docs: DataFrame) -> DataFrame:
     """Adds to docs (text and any columns) n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lines, n_top_word and n_capitals (long). Null counts as empty."""
     rows = docs.withColumn("_text", F.coalesce("text", F.lit("")))
     rows = rows.withColumn("_words", F.filter(F.split("_text", SPACE_RX, -1), lambda w: w != ""))
-    rows = rows.withColumn("_h", F.transform("_words", lambda w: F.xxhash64(w)))
-    grams = F.when(F.size("_h") >= WINDOW, F.transform(F.sequence(F.lit(1), F.size("_h") - (WINDOW - 1)), lambda i: F.xxhash64(F.slice("_h", i, WINDOW)))).otherwise(F.array().cast("array<long>"))
+    rows = rows.withColumn("_h1", F.transform("_words", lambda w: F.xxhash64(w)))
+    # hashes of windows of 2, 4 and then 8 words, each from two of the ones before, the second so many words on
+    for half in (1, 2, 4):
+        rows = rows.withColumn(f"_h{2 * half}", F.zip_with(f"_h{half}", F.slice(f"_h{half}", half + 1, F.size(f"_h{half}")), lambda x, y: F.xxhash64(x, y)))
+    grams = F.slice("_h8", 1, F.greatest(F.size("_h8") - (WINDOW - 1), F.lit(0)))
     rows = rows.withColumn("_grams", grams)
     # windows found twice: equal neighbours once sorted; their starts, in order
     placed = F.when(F.size(F.array_distinct("_grams")) < F.size("_grams"), F.array_sort(F.transform("_grams", lambda g, i: F.struct(g.alias("g"), i.alias("i"))))).otherwise(F.array().cast("array<struct<g:long,i:int>>"))
@@ -64,6 +56,10 @@ def base_statistics(docs: DataFrame) -> DataFrame:
     twice = F.filter("_placed", lambda p, k: (p["g"] == F.get("_placed", k - 1)["g"]) | (p["g"] == F.get("_placed", k + 1)["g"]))
     rows = rows.withColumn("_starts", F.array_sort(F.transform(twice, lambda p: p["i"])))
     covered = F.aggregate("_starts", F.struct(F.lit(0).cast("long").alias("n"), F.lit(-WINDOW).alias("last")), lambda acc, i: F.struct((acc["n"] + F.least(F.lit(WINDOW), i - acc["last"])).alias("n"), i.alias("last")), lambda acc: acc["n"])
+    # the most frequent word: the longest run of equal hashes once sorted, between the places where runs begin
+    rows = rows.withColumn("_sorted", F.sort_array("_h1"))
+    rows = rows.withColumn("_runs", F.filter(F.transform("_sorted", lambda x, k: F.when(F.get("_sorted", k - 1) == x, F.lit(None)).otherwise(k)), lambda k: k.isNotNull()))
+    most = F.array_max(F.transform("_runs", lambda at, k: F.coalesce(F.get("_runs", k + 1), F.size("_sorted")) - at))
     rows = rows.withColumn("_lines", F.filter(F.split("_text", "\n", -1), lambda x: x.rlike("[^\\x20\\x09-\\x0D]")))
     return rows.select(
         *[F.col(f"`{c}`") for c in docs.columns],
@@ -73,7 +69,7 @@ def base_statistics(docs: DataFrame) -> DataFrame:
         (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"),
         covered.alias("n_repeat_words"),
         F.size("_lines").cast("long").alias("n_lines"),
-        _most(F.col("_h")).alias("n_top_word"),
+        F.coalesce(most, F.lit(0)).cast("long").alias("n_top_word"),
         F.length(F.regexp_replace("_text", "[^\\p{Lu}]", "")).cast("long").alias("n_capitals"),
     )
 
