@@ -51,11 +51,13 @@ def base_statistics(docs: DataFrame) -> DataFrame:
     grams = F.slice("_h8", 1, F.greatest(F.size("_h8") - (WINDOW - 1), F.lit(0)))
     rows = rows.withColumn("_grams", grams)
     # windows found twice: equal neighbours once sorted; their starts, in order
-    placed = F.when(F.size(F.array_distinct("_grams")) < F.size("_grams"), F.array_sort(F.transform("_grams", lambda g, i: F.struct(g.alias("g"), i.alias("i"))))).otherwise(F.array().cast("array<struct<g:long,i:int>>"))
+    placed = F.when(F.size(F.array_distinct("_grams")) < F.size("_grams"), F.sort_array(F.transform("_grams", lambda g, i: F.struct(g.alias("g"), i.alias("i"))))).otherwise(F.array().cast("array<struct<g:long,i:int>>"))
     rows = rows.withColumn("_placed", placed)
     twice = F.filter("_placed", lambda p, k: (p["g"] == F.get("_placed", k - 1)["g"]) | (p["g"] == F.get("_placed", k + 1)["g"]))
-    rows = rows.withColumn("_starts", F.array_sort(F.transform(twice, lambda p: p["i"])))
-    covered = F.aggregate("_starts", F.struct(F.lit(0).cast("long").alias("n"), F.lit(-WINDOW).alias("last")), lambda acc, i: F.struct((acc["n"] + F.least(F.lit(WINDOW), i - acc["last"])).alias("n"), i.alias("last")), lambda acc: acc["n"])
+    rows = rows.withColumn("_starts", F.sort_array(F.transform(twice, lambda p: p["i"])))
+    # each covers its words up to the next one's start
+    own = F.zip_with("_starts", F.slice("_starts", 2, F.size("_starts")), lambda i, after: F.coalesce(F.least(after - i, F.lit(WINDOW)), F.lit(WINDOW)))
+    covered = F.aggregate(own, F.lit(0).cast("long"), lambda n, x: n + x)
     # the most frequent word: the longest run of equal hashes once sorted, between the places where runs begin
     rows = rows.withColumn("_sorted", F.sort_array("_h1"))
     rows = rows.withColumn("_runs", F.filter(F.transform("_sorted", lambda x, k: F.when(F.get("_sorted", k - 1) == x, F.lit(None)).otherwise(k)), lambda k: k.isNotNull()))
